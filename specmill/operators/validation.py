@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmill.functions.numbers import is_finite, parse_finite, round3, shown
+from specmill.functions.once import evaluated_once
 from specmill.functions.text import is_missing, shortened, single_quoted, strip
 from specmill.functions.units import UNIT_TABLE, conversion, convert, normalise_unit, unit_table
 from specmill.sources.rules import PROBLEM, FieldRule, RuleSet, check_units
@@ -171,11 +172,11 @@ def validated(rows: DataFrame, rules: RuleSet, raw: str = "raw") -> DataFrame:
         found.append(problems)
     kept = [c for c in rows.columns if c != raw]
     listed = F.filter(F.flatten(F.array(*found)), lambda p: p.isNotNull())
-    return staged.select(
-        *kept,
-        F.struct(*values).cast(rules.data_type).alias("data"),
-        listed.cast(f"array<{PROBLEM.simpleString()}>").alias("problems"),
-    ).withColumn("status", status(F.col("problems")))
+    finished = {
+        "data": F.struct(*values).cast(rules.data_type),
+        "problems": listed.cast(f"array<{PROBLEM.simpleString()}>"),
+    }
+    return evaluated_once(staged, kept, finished).withColumn("status", status(F.col("problems")))
 
 
 def status(problems: Column) -> Column:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.session import shared_folder
+from specmill.functions.spread import dense_position
+from specmill.session import settled
 
 DOCUMENT_GLOB = "*.pdf"
 # Spark reads a file's bytes into one row; larger files are listed, not read.
@@ -82,11 +83,13 @@ def fingerprinted(files: DataFrame) -> DataFrame:
 
 
 def in_arrival_order(files: DataFrame) -> DataFrame:
-    """Adds ``seq``: increasing along (argument, source_file), not necessarily dense.
+    """Adds ``seq``: position in the order (argument, source_file), from 0 without gaps.
 
-    The range-partitioned sort is checkpointed first, so that row positions cannot
-    change when a lost partition is computed again.
+    The sorted rows get their provisional numbers while they are written out, so that a
+    partition computed again can no longer change them.
     """
-    shared_folder(files.sparkSession)
-    ordered = files.orderBy("argument", "source_file").checkpoint()
-    return ordered.withColumn("seq", F.monotonically_increasing_id())
+    ordered = files.orderBy("argument", "source_file").withColumn(
+        "_at", F.monotonically_increasing_id()
+    )
+    numbered = dense_position(settled(ordered, "arrivals"), "_at", "seq")
+    return settled(numbered.withColumn("seq", F.col("seq") - 1).drop("_at"), "numbered")
