@@ -20,23 +20,28 @@ _DIGITS = r"\d(?:_?\d)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
-def parse_finite(text: Column) -> Column:
-    """``text`` as a finite double, or null when it is not one.
+def as_double(plain: Column) -> Column:
+    """Text without outer blanks as a double, null when it is no number.
 
     ``try_cast`` alone is too lenient (it takes ``12d``) and too strict (``1_000``,
-    full-width digits), so the text is checked against the number grammar first.
+    full-width digits), so the text is checked against the number grammar first. The cast is
+    never tried on other text, where each failure would cost an exception.
     """
-    plain = strip(text)
     ascii_only = F.octet_length(plain) == F.length(plain)
     plain = F.when(ascii_only, plain).otherwise(
         F.translate(plain, "".join(_FOREIGN_DIGITS), "".join(_ASCII_DIGITS))
     )
-    number = F.when(plain.rlike(_NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.when(is_finite(number), number)
+    return F.when(plain.rlike(_NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def parse_finite(text: Column) -> Column:
+    """``text`` as a finite double, or null when it is not one."""
+    return finite(as_double(strip(text)))
 
 
-def is_finite(number: Column) -> Column:
-    return ~F.isnan(number) & (F.abs(number) != float("inf"))
+def finite(number: Column) -> Column:
+    """The number, or null when it is infinite or not a number."""
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 # Doubles below this magnitude keep ``2000 * x`` and its nearest odd integer exact.

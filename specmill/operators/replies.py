@@ -68,19 +68,24 @@ def prompt(text: Column, rules: RuleSet, retry: bool = False) -> Column:
 # -- replies -------------------------------------------------------------------
 
 
+def _opened(bare: Column) -> Column:
+    """Inside of a fence around a text without outer blanks, null when there is none."""
+    fenced = bare.startswith("```") & bare.endswith("```") & (F.length(bare) >= 6)
+    return F.when(fenced, bare.substr(F.lit(4), F.length(bare) - 6))
+
+
+def _untagged(inside: Column) -> Column:
+    tagged = inside.substr(F.lit(5), F.length(inside))
+    return strip(F.when(inside.startswith("json"), tagged).otherwise(inside))
+
+
 def unfenced(reply: Column) -> Column:
     """The inside of a Markdown code fence (plain or ``json``), or the reply itself."""
-    bare = strip(reply)
-    inside = bare.substr(F.lit(4), F.length(bare) - 6)
-    inside = F.when(inside.startswith("json"), inside.substr(F.lit(5), F.length(inside))).otherwise(
-        inside
-    )
-    fenced = bare.startswith("```") & bare.endswith("```") & (F.length(bare) >= 6)
-    return F.when(fenced, strip(inside)).otherwise(reply)
+    return F.coalesce(_untagged(_opened(strip(reply))), reply)
 
 
-def _framed(reply: Column, rules: RuleSet) -> Column:
-    """The reply read as an array of one object and a marker object.
+def _framed(body: Column, rules: RuleSet) -> Column:
+    """A reply's body read as an array of one object and a marker object.
 
     Spark's JSON reader stops silently after the first value. With the marker, text
     after the object, several objects or an early bracket all miss the expected
@@ -88,8 +93,15 @@ def _framed(reply: Column, rules: RuleSet) -> Column:
     """
     element = T.StructType([T.StructField(n, T.VariantType()) for n in rules.names])
     element = element.add(_END, T.BooleanType())
-    body = F.concat(F.lit("["), unfenced(reply), F.lit(f',{{"{_END}":true}}]'))
-    return F.from_json(body, T.ArrayType(element), {"allowSingleQuotes": "false"})
+    framed = F.concat(F.lit("["), body, F.lit(f',{{"{_END}":true}}]'))
+    return F.from_json(framed, T.ArrayType(element), {"allowSingleQuotes": "false"})
+
+
+def parsed_reply_ok(reply: Column, rules: RuleSet) -> Column:
+    """Whether a reply is exactly one JSON object, possibly fenced."""
+    items = _framed(unfenced(reply), rules)
+    marked = F.coalesce(F.try_element_at(items, F.lit(2))[_END], F.lit(False))
+    return (F.size(items) == 2) & marked & F.try_element_at(items, F.lit(1)).isNotNull()
 
 
 def reply_error(reply: Column) -> Column:
@@ -115,7 +127,9 @@ def _kind(value: Column) -> Column:
 
 
 def _typed(value: Column) -> Column:
-    return F.struct(value.alias("v"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text"))
+    return F.struct(
+        value.alias("v"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
+    )
 
 
 def _as_text(item: Column) -> Column:
@@ -123,23 +137,30 @@ def _as_text(item: Column) -> Column:
     text, kind = item["text"], item["kind"]
     return (
         F.when(kind == "STRING", text)
-        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind == "BOOLEAN", F.when(text == "true", "True").otherwise("False"))
         .when((kind == "DECIMAL") & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0")))
         .otherwise(text)
     )
 
 
-def _as_number(item: Column) -> Column:
-    """(value, unit, kind) of a typed value; a bare value has no unit; null when absent."""
-    is_object = item["kind"] == "OBJECT"
-    inner = F.when(is_object, F.try_variant_get(item["v"], "$.value", "variant")).otherwise(item["v"])
-    unit = F.when(is_object, F.try_variant_get(item["v"], "$.unit", "variant"))
+def _taken_apart(value: Column) -> Column:
+    """Number and unit of an object as variants; a bare value has no unit."""
+    kind = F.schema_of_variant(value)
+    is_object = kind.startswith("OBJECT")
+    inner = F.when(is_object, F.try_variant_get(value, "$.value", "variant")).otherwise(value)
+    unit = F.when(is_object, F.try_variant_get(value, "$.unit", "variant"))
+    return F.when(kind != "VOID", F.struct(inner.alias("inner"), unit.alias("unit")))
+
+
+def _as_number(parts: Column) -> Column:
+    """(value, unit, kind) of a taken apart number; null when absent."""
+    inner, unit = parts["inner"], parts["unit"]
     number = F.struct(
         F.try_variant_get(inner, "$", "string").alias("value"),
-        _as_text(_typed(unit)).alias("unit"),
+        F.when(unit.isNotNull(), _as_text(_typed(unit))).alias("unit"),
         _kind(inner).alias("kind"),
     )
-    return F.when(item["kind"] != "VOID", number)
+    return F.when(parts.isNotNull(), number)
 
 
 def with_raw(replies: DataFrame, rules: RuleSet, reply: str = "reply") -> DataFrame:
@@ -154,17 +175,23 @@ def with_raw(replies: DataFrame, rules: RuleSet, reply: str = "reply") -> DataFr
     item = F.try_element_at("_items", F.lit(1))
     complete = (F.size("_items") == 2) & F.try_element_at("_items", F.lit(2))[_END]
 
-    def shaped(names: list[str], shape) -> Column:
-        return F.transform(F.transform(F.array(*[F.col("_object")[n] for n in names]), _typed), shape)
-
-    staged = replies.withColumn("_items", _framed(F.col(reply), rules)).withColumn(
-        "_object", F.when(complete, item)
-    )
+    def shaped(names: list[str], *steps) -> Column:
+        values = F.array(*[F.col("_object")[n] for n in names])
+        for step in steps:
+            values = F.transform(values, step)
+        return values
+
+    # One column per step, so that no step is repeated for each mention of its result.
+    staged = replies.withColumn("_bare", strip(F.col(reply)))
+    staged = staged.withColumn("_inside", _opened(F.col("_bare")))
+    staged = staged.withColumn("_body", F.coalesce(_untagged(F.col("_inside")), F.col(reply)))
+    staged = staged.withColumn("_items", _framed(F.col("_body"), rules))
+    staged = staged.withColumn("_object", F.when(complete, item))
     added = {}
     if numbers:
-        added["_numbers"] = shaped(numbers, _as_number)
+        added["_numbers"] = shaped(numbers, _taken_apart, _as_number)
     if texts:
-        added["_texts"] = shaped(texts, _as_text)
+        added["_texts"] = shaped(texts, _typed, _as_text)
     staged = staged.withColumns(added)
     members = [
         (F.col("_numbers")[numbers.index(n)] if n in numbers else F.col("_texts")[texts.index(n)]).alias(n)

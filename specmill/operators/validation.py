@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmill.functions.numbers import is_finite, parse_finite, round3, shown
+from specmill.functions.numbers import as_double, finite, round3, shown
 from specmill.functions.once import evaluated_once
-from specmill.functions.text import is_missing, shortened, single_quoted, strip
+from specmill.functions.text import shortened, single_quoted, strip
 from specmill.functions.units import UNIT_TABLE, conversion, convert, normalise_unit, unit_table
 from specmill.sources.rules import PROBLEM, FieldRule, RuleSet, check_units
 
@@ -30,10 +30,6 @@ def problem(field: Column | str, code: str, severity: str, message: Column | str
     )
 
 
-def _missing(rule: FieldRule, blank: Column) -> Column:
-    return F.when(blank & F.lit(rule.required), problem(rule.name, "missing", ERROR, MISSING_TEXT))
-
-
 def _number_input(rule: FieldRule, raw: str) -> Column:
     """One number with everything its checks need."""
     entry = F.col(raw)[rule.name]
@@ -41,6 +37,7 @@ def _number_input(rule: FieldRule, raw: str) -> Column:
     table = unit_table(rule.unit) if rule.unit else F.lit(None).cast(UNIT_TABLE)
     return F.struct(
         entry["value"].alias("value"),
+        strip(entry["value"]).alias("plain"),
         entry["unit"].alias("unit"),
         entry["kind"].alias("kind"),
         F.lit(rule.name).alias("field"),
@@ -53,11 +50,13 @@ def _number_input(rule: FieldRule, raw: str) -> Column:
     )
 
 
-def _parsed(x: Column) -> Column:
-    number = (
-        F.when(x["kind"] == "BOOLEAN", (x["value"] == "true").cast("double"))
-        .when(x["kind"].isin("OBJECT", "ARRAY"), F.lit(None).cast("double"))
-        .otherwise(parse_finite(x["value"]))
+# Each step is one lambda over all numbers; what a step needs twice, the one before computed.
+
+
+def _read(x: Column) -> Column:
+    usable = F.when(~x["kind"].isin("OBJECT", "ARRAY", "BOOLEAN"), x["plain"])
+    number = F.when(x["kind"] == "BOOLEAN", (x["plain"] == "true").cast("double")).otherwise(
+        as_double(usable)
     )
     how = F.when(x["unit"].isNotNull(), conversion(normalise_unit(x["unit"]), x["table"]))
     return F.struct(x.alias("x"), number.alias("number"), how.alias("how"))
@@ -65,24 +64,28 @@ def _parsed(x: Column) -> Column:
 
 def _converted(p: Column) -> Column:
     as_is = p["x"]["canonical"].isNull() | p["x"]["unit"].isNull()
-    result = F.when(as_is, p["number"]).otherwise(convert(p["number"], p["how"]))
+    number = finite(p["number"])
+    result = F.when(as_is, number).otherwise(convert(number, p["how"]))
     return F.struct(
-        p["x"].alias("x"), p["number"].alias("number"), p["how"].isNotNull().alias("known"), result.alias("result")
+        p["x"].alias("x"),
+        number.isNotNull().alias("numeric"),
+        p["how"].isNotNull().alias("known"),
+        # A conversion may overflow a number that was finite before.
+        finite(result).alias("result"),
     )
 
 
 def _rounded(c: Column) -> Column:
-    # A conversion may overflow a number that was finite before.
-    result = F.when(is_finite(c["result"]), round3(c["result"]))
     return F.struct(
-        c["x"].alias("x"), c["number"].alias("number"), c["known"].alias("known"), result.alias("result")
+        c["x"].alias("x"), c["numeric"].alias("numeric"), c["known"].alias("known"),
+        round3(c["result"]).alias("result"),
     )
 
 
 def _judged(r: Column) -> Column:
     """Value and problems of one number."""
-    x, parsed, result = r["x"], r["number"], r["result"]
-    blank = is_missing(x["value"])
+    x, numeric, result = r["x"], r["numeric"], r["result"]
+    blank = x["plain"].isNull() | (x["plain"] == "")
     echo = (
         F.when(x["kind"] == "STRING", single_quoted(x["value"]))
         .when(x["value"] == "NaN", "nan")
@@ -99,15 +102,15 @@ def _judged(r: Column) -> Column:
     problems = F.array(
         raised(blank & x["required"], "missing", ERROR, F.lit(MISSING_TEXT)),
         raised(
-            ~blank & (parsed.isNull() | (result.isNull() & ~bad_unit)), "not_a_number", ERROR,
+            ~blank & (~numeric | (result.isNull() & ~bad_unit)), "not_a_number", ERROR,
             F.concat(F.lit("Expected a finite number, got "), shortened(echo)),
         ),
         raised(
-            parsed.isNotNull() & has_unit & ~unit_given, "missing_unit", WARNING,
+            numeric & has_unit & ~unit_given, "missing_unit", WARNING,
             F.concat(F.lit("No unit given, assumed "), x["canonical"]),
         ),
         raised(
-            parsed.isNotNull() & bad_unit, "unknown_unit", ERROR,
+            numeric & bad_unit, "unknown_unit", ERROR,
             F.concat(F.lit("Cannot convert unit "), single_quoted(x["unit"]), F.lit(" to "), x["canonical"]),
         ),
         raised(
@@ -118,32 +121,26 @@ def _judged(r: Column) -> Column:
     return F.struct(result.alias("value"), problems.alias("problems"))
 
 
-def _enum(rule: FieldRule, raw: str) -> tuple[Column, list[Column]]:
-    text = strip(F.col(raw)[rule.name])
-    blank = is_missing(F.col(raw)[rule.name])
+def _enum(rule: FieldRule, text: Column) -> tuple[Column, list[Column]]:
     spelling: dict[str, str] = {}
     for allowed in rule.allowed:
         spelling.setdefault(allowed.lower(), allowed)
     known = F.create_map(*[F.lit(part) for pair in spelling.items() for part in pair])
     canonical = F.try_element_at(known, F.lower(text))
     message = F.concat(single_quoted(text), F.lit(" is not one of: " + ", ".join(rule.allowed)))
-    invalid = F.when(~blank & canonical.isNull(), problem(rule.name, "invalid_enum", WARNING, message))
-    found = [_missing(rule, blank), invalid]
-    return F.when(~blank, F.coalesce(canonical, text)), found
+    invalid = F.when(canonical.isNull(), problem(rule.name, "invalid_enum", WARNING, message))
+    return F.coalesce(canonical, text), [F.when(text.isNotNull(), invalid)]
 
 
-def _string(rule: FieldRule, raw: str) -> tuple[Column, list[Column]]:
-    text = strip(F.col(raw)[rule.name])
-    blank = is_missing(F.col(raw)[rule.name])
-    found = [_missing(rule, blank)]
-    if rule.pattern:
-        # rlike searches; the anchors make it match the whole text.
-        fits = text.rlike(rf"(?U)\A(?:{rule.pattern})\z")
-        message = F.concat(
-            single_quoted(text), F.lit(f" does not match the expected pattern {rule.pattern}")
-        )
-        found.append(F.when(~blank & ~fits, problem(rule.name, "pattern_mismatch", WARNING, message)))
-    return F.when(~blank, text), found
+def _string(rule: FieldRule, text: Column) -> tuple[Column, list[Column]]:
+    if not rule.pattern:
+        return text, []
+    # rlike searches; the anchors make it match the whole text.
+    fits = text.rlike(rf"(?U)\A(?:{rule.pattern})\z")
+    message = F.concat(
+        single_quoted(text), F.lit(f" does not match the expected pattern {rule.pattern}")
+    )
+    return text, [F.when(~fits, problem(rule.name, "pattern_mismatch", WARNING, message))]
 
 
 def validated(rows: DataFrame, rules: RuleSet, raw: str = "raw") -> DataFrame:
@@ -154,22 +151,32 @@ def validated(rows: DataFrame, rules: RuleSet, raw: str = "raw") -> DataFrame:
     """
     check_units(rules)
     numbers = [r for r in rules.fields if r.kind == "number"]
-    staged = rows
+    texts = [r for r in rules.fields if r.kind != "number"]
+    added = {}
     if numbers:
-        checked = F.array(*[_number_input(r, raw) for r in numbers])
-        for step in (_parsed, _converted, _rounded, _judged):
-            checked = F.transform(checked, step)
-        staged = rows.withColumn("_numbers", checked)
-    values, found, position = [], [], 0
+        judged = F.array(*[_number_input(r, raw) for r in numbers])
+        for step in (_read, _converted, _rounded, _judged):
+            judged = F.transform(judged, step)
+        added["_numbers"] = judged
+    if texts:
+        plain = F.transform(F.array(*[F.col(raw)[r.name] for r in texts]), strip)
+        added["_texts"] = F.transform(plain, lambda text: F.when(text != "", text))
+    staged = rows.withColumns(added)
+    values, found = [], []
     for rule in rules.fields:
         if rule.kind == "number":
-            item = F.col("_numbers")[position]
-            value, problems, position = item["value"], item["problems"], position + 1
+            item = F.col("_numbers")[numbers.index(rule)]
+            value, problems = item["value"], item["problems"]
         else:
-            value, listed = (_enum if rule.kind == "enum" else _string)(rule, raw)
+            text = F.col("_texts")[texts.index(rule)]
+            value, listed = (_enum if rule.kind == "enum" else _string)(rule, text)
+            if rule.required:
+                gap = problem(rule.name, "missing", ERROR, MISSING_TEXT)
+                listed = [F.when(text.isNull(), gap), *listed]
             problems = F.array(*listed)
         values.append(value.alias(rule.name))
-        found.append(problems)
+        if rule.kind == "number" or listed:
+            found.append(problems)
     kept = [c for c in rows.columns if c != raw]
     listed = F.filter(F.flatten(F.array(*found)), lambda p: p.isNotNull())
     finished = {

@@ -118,6 +118,55 @@ def ledger_sql(dialect: dict[str, str]) -> str:
       WHERE m % 4 < 3"""
 
 
+def upsert_rows_sql(remainder: int) -> str:
+    """(seq, source_hash, manufacturer, part_number, p_size) from the parts of one key class.
+
+    Class 0 plays the stored table, class 1 the batch: half of the batch revises a stored
+    part, a quarter of it is one hot part, some rows have no part number or maker.
+    """
+    return f"""
+      SELECT seq, source_hash, p_size,
+        case when hot then 'maker-hot' when seq % 7 = 3 then null else 'maker-' || {_text('g % 25')} end AS manufacturer,
+        case when seq % 10 = 7 then null when hot then 'PN-HOT' else 'PN-' || {_text('g')} end AS part_number
+      FROM (
+        SELECT p_partkey AS seq, p_size, 'h' || {_text('p_partkey')} AS source_hash,
+          (p_partkey % 4 = 1 and p_partkey % 3 = 1) AS hot,
+          case when p_partkey % 3 = 1 and p_partkey % 2 = 0 then p_partkey - 1 else p_partkey end AS g
+        FROM part WHERE p_partkey % 3 = {remainder}
+      ) keyed"""
+
+
+def reidentified_old_sql() -> str:
+    """(id, source_hash, manufacturer, part_number, p_size): the table before re-identification."""
+    return f"""
+      SELECT p_partkey + 1 AS id, 'h' || {_text('p_partkey')} AS source_hash, 'maker' AS manufacturer,
+        'PN-' || {_text('p_partkey')} AS part_number, p_size
+      FROM part WHERE p_partkey % 3 = 0"""
+
+
+def reidentified_batch_sql() -> str:
+    """Batch rows that carry records from one identity to another.
+
+    Per stored key k that is even: its file comes with a new part number, a fresh file
+    takes the old one; where 4 divides k the fresh file moves along and both records share
+    an identity. All keys of class 1 share the part HOT; the first of them moves away again.
+    """
+    def rows(step: int, digest: str, number: str, where: str) -> str:
+        return f"""
+          SELECT p_partkey * 10 + {step} AS seq, '{digest}' || {_text('p_partkey')} AS source_hash,
+            'maker' AS manufacturer, {number} AS part_number, p_size FROM part WHERE {where}"""
+
+    moved, old = f"'RE-' || {_text('p_partkey')}", f"'PN-' || {_text('p_partkey')}"
+    even, fourth = "p_partkey % 6 = 0", "p_partkey % 12 = 0"
+    return " UNION ALL ".join(
+        [
+            rows(1, "h", moved, even), rows(2, "f", old, even), rows(3, "f", moved, fourth),
+            rows(4, "g", moved, fourth), rows(5, "f", moved, fourth),
+            rows(6, "x", "'HOT'", "p_partkey % 3 = 1"), rows(7, "x", "'COLD'", "p_partkey = 1"),
+        ]
+    )
+
+
 # -- the same inputs as DataFrames -------------------------------------------------
 
 
@@ -125,30 +174,38 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def from_sql(spark: SparkSession, folder: str, sql: str, table: str) -> DataFrame:
+def derived(spark: SparkSession, folder: str, sql: str, table: str) -> DataFrame:
     """Run a derivation over one given table without leaving a view behind."""
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {given}"), given=load(spark, folder, table))
+    braced = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", "FROM {given}")
+    return spark.sql(braced, given=load(spark, folder, table))
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(_braced(replies_sql(SPARK), "part"), given=load(spark, folder, "part"))
+    return derived(spark, folder, replies_sql(SPARK), "part")
 
 
-def attempts(spark: SparkSession, folder: str, quota_every: int = 611) -> DataFrame:
-    return spark.sql(_braced(attempts_sql(SPARK, quota_every), "part"), given=load(spark, folder, "part"))
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    return derived(spark, folder, attempts_sql(SPARK), "part")
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return from_sql(spark, folder, files_sql(SPARK), "documents")
+    return derived(spark, folder, files_sql(SPARK), "documents")
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return from_sql(spark, folder, ledger_sql(SPARK), "documents")
+    return derived(spark, folder, ledger_sql(SPARK), "documents")
+
+
+def upsert_rows(spark: SparkSession, folder: str, remainder: int) -> DataFrame:
+    stamped = derived(spark, folder, upsert_rows_sql(remainder), "part")
+    return stamped.withColumn("extracted_at", F.lit("2024-01-01").cast("timestamp"))
 
 
-def _braced(sql: str, table: str) -> str:
-    """The SQL with its braces escaped and the table as the one parameter."""
-    return sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", "FROM {given}")
+def reidentified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    old = derived(spark, folder, reidentified_old_sql(), "part")
+    new = derived(spark, folder, reidentified_batch_sql(), "part")
+    return old.withColumn("extracted_at", stamp), new.withColumn("extracted_at", stamp)
 
 
 def checked(spark: SparkSession, folder: str, rules: RuleSet) -> DataFrame:
