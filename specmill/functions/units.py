@@ -62,7 +62,7 @@ def normalise_unit(unit: Column) -> Column:
     return F.lower(F.translate(unit, _DROPPED, ""))
 
 
-UNIT_TABLE = "map<string,struct<shift:double,factor:double,divisor:double>>"
+CONVERSION = "struct<shift:double,factor:double,divisor:double>"
 
 
 def unit_table(canonical: str) -> Column:

@@ -126,61 +126,43 @@ def _kind(value: Column) -> Column:
     return F.substring_index(F.substring_index(full, "<", 1), "(", 1)
 
 
-def _typed(value: Column) -> Column:
-    return F.struct(
-        value.alias("v"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
-    )
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def _as_text(item: Column) -> Column:
-    """Text of a typed value: booleans and whole floats in their usual spelling."""
-    text, kind = item["text"], item["kind"]
-    return (
-        F.when(kind == "STRING", text)
-        .when(kind == "BOOLEAN", F.when(text == "true", "True").otherwise("False"))
-        .when((kind == "DECIMAL") & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0")))
-        .otherwise(text)
-    )
+def _inner(value: Column) -> Column:
+    """The number itself: the ``value`` of an object, or the bare value."""
+    return F.when(_is_object(value), F.try_variant_get(value, "$.value", "variant")).otherwise(value)
 
 
-def _taken_apart(value: Column) -> Column:
-    """Number and unit of an object as variants; a bare value has no unit."""
-    kind = F.schema_of_variant(value)
-    is_object = kind.startswith("OBJECT")
-    inner = F.when(is_object, F.try_variant_get(value, "$.value", "variant")).otherwise(value)
-    unit = F.when(is_object, F.try_variant_get(value, "$.unit", "variant"))
-    return F.when(kind != "VOID", F.struct(inner.alias("inner"), unit.alias("unit")))
+def _unit(value: Column) -> Column:
+    return F.when(_is_object(value), _as_text(F.try_variant_get(value, "$.unit", "variant")))
 
 
-def _as_number(parts: Column) -> Column:
-    """(value, unit, kind) of a taken apart number; null when absent."""
-    inner, unit = parts["inner"], parts["unit"]
-    number = F.struct(
-        F.try_variant_get(inner, "$", "string").alias("value"),
-        F.when(unit.isNotNull(), _as_text(_typed(unit))).alias("unit"),
-        _kind(inner).alias("kind"),
+def _as_text(value: Column) -> Column:
+    """A variant as text: booleans and whole floats in their usual spelling."""
+    full, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(full == "STRING", text)
+        .when(full == "BOOLEAN", F.when(text == "true", "True").otherwise("False"))
+        .when(full.startswith("DECIMAL") & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0")))
+        .otherwise(text)
     )
-    return F.when(parts.isNotNull(), number)
 
 
 def with_raw(replies: DataFrame, rules: RuleSet, reply: str = "reply") -> DataFrame:
     """Adds ``raw``: exactly the fields of the rules in their order, null for an unusable reply.
 
-    Keys the rules do not know are never read; missing keys are null. Nothing is
-    shuffled and the JSON is parsed once. All fields of a kind share one expression
-    over an array, which keeps the generated code small for any number of fields.
+    A number becomes (value, unit, kind) with the value as text; a bare number has a null
+    unit. Keys the rules do not know are never read; missing keys are null. Nothing is
+    shuffled and the JSON is parsed once. The fields of a kind share one lambda over an
+    array of plain values, which keeps the generated code small for any number of fields.
     """
     numbers = [r.name for r in rules.fields if r.kind == "number"]
     texts = [r.name for r in rules.fields if r.kind != "number"]
     item = F.try_element_at("_items", F.lit(1))
     complete = (F.size("_items") == 2) & F.try_element_at("_items", F.lit(2))[_END]
 
-    def shaped(names: list[str], *steps) -> Column:
-        values = F.array(*[F.col("_object")[n] for n in names])
-        for step in steps:
-            values = F.transform(values, step)
-        return values
-
     # One column per step, so that no step is repeated for each mention of its result.
     staged = replies.withColumn("_bare", strip(F.col(reply)))
     staged = staged.withColumn("_inside", _opened(F.col("_bare")))
@@ -189,16 +171,30 @@ def with_raw(replies: DataFrame, rules: RuleSet, reply: str = "reply") -> DataFr
     staged = staged.withColumn("_object", F.when(complete, item))
     added = {}
     if numbers:
-        added["_numbers"] = shaped(numbers, _taken_apart, _as_number)
+        variants = F.array(*[F.col("_object")[n] for n in numbers])
+        added |= {"_inner": F.transform(variants, _inner), "_unit": F.transform(variants, _unit)}
     if texts:
-        added["_texts"] = shaped(texts, _typed, _as_text)
+        added["_text"] = F.transform(F.array(*[F.col("_object")[n] for n in texts]), _as_text)
     staged = staged.withColumns(added)
-    members = [
-        (F.col("_numbers")[numbers.index(n)] if n in numbers else F.col("_texts")[texts.index(n)]).alias(n)
-        for n in rules.names
-    ]
-    raw = F.when(F.col("_object").isNotNull(), F.struct(*members).cast(rules.raw_type))
-    return evaluated_once(staged, replies.columns, {"raw": raw})
+    if numbers:
+        staged = staged.withColumns(
+            {
+                "_value": F.transform("_inner", lambda v: F.try_variant_get(v, "$", "string")),
+                "_kind": F.transform("_inner", _kind),
+            }
+        )
+
+    def member(name: str) -> Column:
+        if name in texts:
+            return F.col("_text")[texts.index(name)]
+        at, whole = numbers.index(name), F.col("_object")[name]
+        number = F.struct(
+            F.col("_value")[at].alias("value"), F.col("_unit")[at].alias("unit"), F.col("_kind")[at].alias("kind")
+        )
+        return F.when(whole.isNotNull() & ~F.is_variant_null(whole), number)
+
+    members = F.struct(*[member(n).alias(n) for n in rules.names]).cast(rules.raw_type)
+    return evaluated_once(staged, replies.columns, {"raw": F.when(F.col("_object").isNotNull(), members)})
 
 
 def parsed_object(reply: str) -> dict | None:

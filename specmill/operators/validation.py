@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from specmill.functions.numbers import as_double, finite, round3, shown
 from specmill.functions.once import evaluated_once
 from specmill.functions.text import shortened, single_quoted, strip
-from specmill.functions.units import UNIT_TABLE, conversion, convert, normalise_unit, unit_table
+from specmill.functions.units import CONVERSION, conversion, convert, normalise_unit, unit_table
 from specmill.sources.rules import PROBLEM, FieldRule, RuleSet, check_units
 
 ERROR, WARNING, OK = "error", "warning", "ok"
@@ -30,95 +30,100 @@ def problem(field: Column | str, code: str, severity: str, message: Column | str
     )
 
 
-def _number_input(rule: FieldRule, raw: str) -> Column:
-    """One number with everything its checks need."""
-    entry = F.col(raw)[rule.name]
-    label = f" {rule.unit}" if rule.unit else ""
-    table = unit_table(rule.unit) if rule.unit else F.lit(None).cast(UNIT_TABLE)
-    return F.struct(
-        entry["value"].alias("value"),
-        strip(entry["value"]).alias("plain"),
-        entry["unit"].alias("unit"),
-        entry["kind"].alias("kind"),
-        F.lit(rule.name).alias("field"),
-        F.lit(rule.required).alias("required"),
-        F.lit(rule.unit).cast("string").alias("canonical"),
-        table.alias("table"),
-        F.lit(rule.low).cast("double").alias("low"),
-        F.lit(rule.high).cast("double").alias("high"),
-        F.lit(f"{label} is outside the expected {rule.low} to {rule.high}").alias("outside"),
-    )
-
-
-# Each step is one lambda over all numbers; what a step needs twice, the one before computed.
+def _number_steps(rows: DataFrame, numbers: list[FieldRule], raw: str) -> DataFrame:
+    """Adds ``_result`` (array of numbers) and ``_found`` (array of problem arrays).
 
+    Every step is one lambda over plain values of all number fields; what differs between the
+    fields is looked up by position in literal arrays.
+    """
 
-def _read(x: Column) -> Column:
-    usable = F.when(~x["kind"].isin("OBJECT", "ARRAY", "BOOLEAN"), x["plain"])
-    number = F.when(x["kind"] == "BOOLEAN", (x["plain"] == "true").cast("double")).otherwise(
-        as_double(usable)
-    )
-    how = F.when(x["unit"].isNotNull(), conversion(normalise_unit(x["unit"]), x["table"]))
-    return F.struct(x.alias("x"), number.alias("number"), how.alias("how"))
+    def entries(member: str) -> Column:
+        return F.array(*[F.col(raw)[r.name][member] for r in numbers])
 
+    def fixed(values, kind: str) -> Column:
+        return F.array(*[F.lit(v).cast(kind) for v in values])
 
-def _converted(p: Column) -> Column:
-    as_is = p["x"]["canonical"].isNull() | p["x"]["unit"].isNull()
-    number = finite(p["number"])
-    result = F.when(as_is, number).otherwise(convert(number, p["how"]))
-    return F.struct(
-        p["x"].alias("x"),
-        number.isNotNull().alias("numeric"),
-        p["how"].isNotNull().alias("known"),
-        # A conversion may overflow a number that was finite before.
-        finite(result).alias("result"),
+    how = [
+        conversion(normalise_unit(F.col(raw)[r.name]["unit"]), unit_table(r.unit)) if r.unit
+        else F.lit(None).cast(CONVERSION)
+        for r in numbers
+    ]
+    staged = rows.withColumns(
+        {
+            "_plain": F.transform(entries("value"), strip),
+            "_unit": entries("unit"),
+            "_kind": entries("kind"),
+            "_how": F.array(*how),
+        }
     )
-
-
-def _rounded(c: Column) -> Column:
-    return F.struct(
-        c["x"].alias("x"), c["numeric"].alias("numeric"), c["known"].alias("known"),
-        round3(c["result"]).alias("result"),
+    staged = staged.withColumn("_number", F.transform("_plain", lambda v, i: _read(v, F.col("_kind")[i])))
+    staged = staged.withColumn("_finite", F.transform("_number", finite))
+    canonical = fixed([r.unit for r in numbers], "string")
+
+    def converted(number: Column, i: Column) -> Column:
+        as_is = canonical[i].isNull() | F.col("_unit")[i].isNull()
+        return F.when(as_is, number).otherwise(convert(number, F.col("_how")[i]))
+
+    # A conversion may overflow a number that was finite before.
+    staged = staged.withColumn("_exact", F.transform("_finite", converted))
+    staged = staged.withColumn("_result", F.transform(F.transform("_exact", finite), round3))
+
+    name, required = fixed([r.name for r in numbers], "string"), fixed([r.required for r in numbers], "boolean")
+    low, high = fixed([r.low for r in numbers], "double"), fixed([r.high for r in numbers], "double")
+    outside = fixed(
+        [f"{f' {r.unit}' if r.unit else ''} is outside the expected {r.low} to {r.high}" for r in numbers], "string"
     )
 
-
-def _judged(r: Column) -> Column:
-    """Value and problems of one number."""
-    x, numeric, result = r["x"], r["numeric"], r["result"]
-    blank = x["plain"].isNull() | (x["plain"] == "")
-    echo = (
-        F.when(x["kind"] == "STRING", single_quoted(x["value"]))
-        .when(x["value"] == "NaN", "nan")
-        .when(x["value"] == "Infinity", "inf")
-        .when(x["value"] == "-Infinity", "-inf")
-        .otherwise(x["value"])
-    )
-    has_unit, unit_given = x["canonical"].isNotNull(), x["unit"].isNotNull()
-    bad_unit = has_unit & unit_given & ~r["known"]
-
-    def raised(condition: Column, code: str, severity: str, message: Column) -> Column:
-        return F.when(condition, problem(x["field"], code, severity, message))
-
-    problems = F.array(
-        raised(blank & x["required"], "missing", ERROR, F.lit(MISSING_TEXT)),
-        raised(
-            ~blank & (~numeric | (result.isNull() & ~bad_unit)), "not_a_number", ERROR,
-            F.concat(F.lit("Expected a finite number, got "), shortened(echo)),
-        ),
-        raised(
-            numeric & has_unit & ~unit_given, "missing_unit", WARNING,
-            F.concat(F.lit("No unit given, assumed "), x["canonical"]),
-        ),
-        raised(
-            numeric & bad_unit, "unknown_unit", ERROR,
-            F.concat(F.lit("Cannot convert unit "), single_quoted(x["unit"]), F.lit(" to "), x["canonical"]),
-        ),
-        raised(
-            ~result.between(x["low"], x["high"]), "out_of_range", WARNING,
-            F.concat(shown(result), x["outside"]),
-        ),
+    def judged(result: Column, i: Column) -> Column:
+        plain, unit, kind = F.col("_plain")[i], F.col("_unit")[i], F.col("_kind")[i]
+        blank, numeric = plain.isNull() | (plain == ""), F.col("_finite")[i].isNotNull()
+        unit_missing = canonical[i].isNotNull() & unit.isNull()
+        unit_unknown = canonical[i].isNotNull() & unit.isNotNull() & F.col("_how")[i].isNull()
+        value = F.element_at(entries("value"), i + 1)
+        echo = (
+            F.when(kind == "STRING", single_quoted(value))
+            .when(value == "NaN", "nan")
+            .when(value == "Infinity", "inf")
+            .when(value == "-Infinity", "-inf")
+            .otherwise(value)
+        )
+        return F.array(
+            F.when(blank & required[i], problem(name[i], "missing", ERROR, MISSING_TEXT)),
+            F.when(
+                ~blank & (~numeric | (result.isNull() & ~unit_unknown)),
+                problem(
+                    name[i], "not_a_number", ERROR,
+                    F.concat(F.lit("Expected a finite number, got "), shortened(echo)),
+                ),
+            ),
+            F.when(
+                numeric & unit_missing,
+                problem(
+                    name[i], "missing_unit", WARNING, F.concat(F.lit("No unit given, assumed "), canonical[i])
+                ),
+            ),
+            F.when(
+                numeric & unit_unknown,
+                problem(
+                    name[i], "unknown_unit", ERROR,
+                    F.concat(F.lit("Cannot convert unit "), single_quoted(unit), F.lit(" to "), canonical[i]),
+                ),
+            ),
+            F.when(
+                ~result.between(low[i], high[i]),
+                problem(name[i], "out_of_range", WARNING, F.concat(shown(result), outside[i])),
+            ),
+        )
+
+    return staged.withColumn("_found", F.transform("_result", judged))
+
+
+def _read(plain: Column, kind: Column) -> Column:
+    return (
+        F.when(kind == "BOOLEAN", (plain == "true").cast("double"))
+        .when(kind.isin("OBJECT", "ARRAY"), F.lit(None).cast("double"))
+        .otherwise(as_double(plain))
     )
-    return F.struct(result.alias("value"), problems.alias("problems"))
 
 
 def _enum(rule: FieldRule, text: Column) -> tuple[Column, list[Column]]:
@@ -152,21 +157,15 @@ def validated(rows: DataFrame, rules: RuleSet, raw: str = "raw") -> DataFrame:
     check_units(rules)
     numbers = [r for r in rules.fields if r.kind == "number"]
     texts = [r for r in rules.fields if r.kind != "number"]
-    added = {}
-    if numbers:
-        judged = F.array(*[_number_input(r, raw) for r in numbers])
-        for step in (_read, _converted, _rounded, _judged):
-            judged = F.transform(judged, step)
-        added["_numbers"] = judged
+    staged = _number_steps(rows, numbers, raw) if numbers else rows
     if texts:
         plain = F.transform(F.array(*[F.col(raw)[r.name] for r in texts]), strip)
-        added["_texts"] = F.transform(plain, lambda text: F.when(text != "", text))
-    staged = rows.withColumns(added)
+        staged = staged.withColumn("_texts", F.transform(plain, lambda text: F.when(text != "", text)))
     values, found = [], []
     for rule in rules.fields:
         if rule.kind == "number":
-            item = F.col("_numbers")[numbers.index(rule)]
-            value, problems = item["value"], item["problems"]
+            at = numbers.index(rule)
+            value, problems = F.col("_result")[at], F.col("_found")[at]
         else:
             text = F.col("_texts")[texts.index(rule)]
             value, listed = (_enum if rule.kind == "enum" else _string)(rule, text)

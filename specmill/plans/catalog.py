@@ -45,8 +45,21 @@ def _paged(spark: SparkSession, folder: str) -> DataFrame:
     return paginate(documents)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return given.records(spark, folder, RULES)
+    """The record table of a folder: written once per application, then only read.
+
+    Filters and column choices of the record queries end in its Parquet scan, and sorted
+    listings do not repeat the extraction for their sampling pass.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        path = scratch_path(spark, "records")
+        given.records(spark, folder, RULES).write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(RULES.record_type).parquet(_stored[key])
 
 
 def _flat(spark: SparkSession, folder: str) -> DataFrame:

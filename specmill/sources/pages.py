@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specmill.functions.text import base_name, strip
 
@@ -44,7 +45,9 @@ def extracted_pages(
     Arrow batches; a file it cannot read becomes a row with ``error`` instead of ending the job.
     """
     kept = [c for c in files.columns if c != content]
-    schema = files.select(*kept).schema.add("pages", "array<string>").add("error", "string")
+    schema = files.select(*kept).schema.add("pages", T.ArrayType(T.StringType())).add(
+        "error", T.StringType()
+    )
 
     def run(batches):
         for batch in batches:
