@@ -16,7 +16,7 @@ from specmill.operators.selection import assembled, chosen_pages, keyword_score,
 from specmill.operators.validation import as_records, of_severity
 from specmill.plans import derivations as given
 from specmill.plans.oracle import TEST_KEYWORDS
-from specmill.session import scratch_path
+from specmill.session import scratch_path, settled
 from specmill.sources.files import discover, fingerprint, fingerprinted
 from specmill.sources.pages import page_rows, paginate, without_text
 from specmill.sources.rules import load_rules
@@ -153,6 +153,8 @@ def q_quota_deferral(spark, folder):
     attempts = given.attempts(spark, folder)
     order = attempts.where("attempt = 1").select("source_hash", "seq")
     results = resolved(attempts, RULES).select("source_hash", "failure", "quota").join(order, "source_hash")
+    # The cut-off and the outcomes both read the results; they are worked out once.
+    results = settled(results, "results")
     cutoff = led.first_quota_seq(results)
     outcome = F.when(F.coalesce(F.col("seq") > cutoff, F.lit(False)), "deferred").when(
         F.col("failure").isNotNull(), "failed"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from specmill.operators.replies import TextModel
-from specmill.plans.batch import RunOptions, run_texts
+from specmill.plans.batch import RunOptions, run_files
 from specmill.session import scratch_path
 from specmill.sources.files import in_arrival_order
 from specmill.sources.rules import RuleSet
@@ -37,8 +37,18 @@ def start_incremental(
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, number: int) -> None:
-        arrived = in_arrival_order(batch.withColumn("argument", F.lit(0))).drop("argument")
-        outcomes = run_texts(arrived, root, rules, make_client, options)
+        # Only names and hashes are sorted; page texts are read again for unsettled contents.
+        files = in_arrival_order(batch.select(F.lit(0).alias("argument"), "source_file", "source_hash"))
+        files = files.select("seq", "source_file", "source_hash", F.lit(None).cast("string").alias("error"))
+
+        def load_pages(todo: DataFrame) -> DataFrame:
+            keys = ["source_file", "source_hash"]
+            wanted = batch.join(todo.select(*keys), keys, "left_semi")
+            return wanted.select(
+                "source_hash", "pages", F.lit(None).cast("string").alias("error")
+            ).dropDuplicates(["source_hash"])
+
+        outcomes = run_files(spark, files, load_pages, root, rules, make_client, options)
         if on_outcomes is not None:
             on_outcomes(outcomes, number)
 

@@ -13,7 +13,9 @@ from specmill.sources.rules import load_rules  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shared"))
-    session = local_session(4, "specmill-tests", **{"spark.checkpoint.dir": folder})
+    session = local_session(
+        4, "specmill-tests", **{"spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "2"}
+    )
     yield session
     session.stop()
 
