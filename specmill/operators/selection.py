@@ -36,7 +36,10 @@ FALLBACK_PAGES = 3
 
 def keyword_score(text: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
     """How many of the keywords occur in ``text``, ignoring case."""
-    lowered = F.lower(text)
+    return _score(F.lower(text), keywords)
+
+
+def _score(lowered: Column, keywords: Sequence[str]) -> Column:
     score = F.lit(0)
     for keyword in keywords:
         score = score + F.contains(lowered, F.lit(keyword.lower())).cast("int")
@@ -50,44 +53,43 @@ def excerpt(
     max_chars: int = MAX_CHARS,
     fallback_pages: int = FALLBACK_PAGES,
 ) -> Column:
-    """The excerpt of a ``pages`` array as one expression.
+    """The excerpt of a ``pages`` array column as one expression.
 
-    Scores are computed once per page; ranking sorts (-score, page) pairs; the budget
-    is a fold that stops taking pages once it is spent.
+    Each page is lower-cased and scored once; ranking sorts (-score, page number) pairs
+    without their texts; the budget is a fold that stops taking pages once it is spent.
     """
     _check_cap(max_chars)
     scored = F.transform(
-        pages,
-        lambda page, i: F.struct(
-            (-keyword_score(page, keywords)).alias("worse"), (i + 1).alias("page_no"), page.alias("text")
-        ),
+        F.transform(pages, F.lower),
+        lambda low, i: F.struct((-_score(low, keywords)).alias("worse"), (i + 1).alias("page_no")),
     )
+    # The one-element array binds the scores to a name, so they are not worked out per use.
     return F.transform(
-        F.array(scored), lambda rows: _excerpt_of(rows, min_score, max_chars, fallback_pages)
+        F.array(scored), lambda rows: _excerpt_of(pages, rows, min_score, max_chars, fallback_pages)
     )[0]
 
 
-def _excerpt_of(scored: Column, min_score: int, max_chars: int, fallback_pages: int) -> Column:
-    fitting = F.filter(scored, lambda p: p["worse"] <= -min_score)
-    leading = F.filter(scored, lambda p: p["page_no"] <= fallback_pages)
-    ranked = F.when(
-        F.exists(scored, lambda p: p["worse"] <= -min_score), F.array_sort(fitting)
-    ).otherwise(leading)
+def _excerpt_of(
+    pages: Column, scored: Column, min_score: int, max_chars: int, fallback_pages: int
+) -> Column:
+    fits = F.exists(scored, lambda p: p["worse"] <= -min_score)
+    fitting = F.array_sort(F.filter(scored, lambda p: p["worse"] <= -min_score))
+    ranked = F.when(fits, fitting).otherwise(F.slice(scored, 1, fallback_pages))
     start = F.struct(
         F.lit(max_chars).alias("left"),
         F.array().cast("array<struct<page_no:int,text:string>>").alias("kept"),
     )
 
     def take(state: Column, page: Column) -> Column:
-        text = F.substring(page["text"], F.lit(1), state["left"])
+        whole = F.element_at(pages, page["page_no"])
+        text = F.substring(whole, F.lit(1), state["left"])
         taken = F.struct(
-            (state["left"] - F.length(text)).alias("left"),
+            (state["left"] - F.least(F.length(whole), state["left"])).alias("left"),
             F.array_append(state["kept"], F.struct(page["page_no"], text.alias("text"))).alias("kept"),
         )
-        return F.when((state["left"] > 0) & (F.length(page["text"]) > 0), taken).otherwise(state)
+        return F.when((state["left"] > 0) & (F.length(whole) > 0), taken).otherwise(state)
 
-    kept = F.aggregate(ranked, start, take)["kept"]
-    return joined_pages(kept)
+    return joined_pages(F.aggregate(ranked, start, take)["kept"])
 
 
 def joined_pages(kept: Column) -> Column:

@@ -45,21 +45,28 @@ def _paged(spark: SparkSession, folder: str) -> DataFrame:
     return paginate(documents)
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
-    """The record table of a folder: written once per application, then only read.
-
-    Filters and column choices of the record queries end in its Parquet scan, and sorted
-    listings do not repeat the extraction for their sampling pass.
-    """
-    key = (spark.sparkContext.applicationId, folder)
+def _stored_once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder, written once per application and then only read."""
+    key = (spark.sparkContext.applicationId, folder, name)
     if key not in _stored:
-        path = scratch_path(spark, "records")
-        given.records(spark, folder, RULES).write.parquet(path)
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
         _stored[key] = path
-    return spark.read.schema(RULES.record_type).parquet(_stored[key])
+    return spark.read.parquet(_stored[key])
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The record table. Filters and column choices of the record queries end in its scan,
+    and sorted listings do not repeat the extraction for their sampling pass."""
+    return _stored_once(spark, folder, "records", lambda: given.records(spark, folder, RULES))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The file listing with hashes: texts are read and hashed once, ledger queries stay narrow."""
+    return _stored_once(spark, folder, "listing", lambda: given.files(spark, folder))
 
 
 def _flat(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +81,7 @@ def _checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_fingerprint_dups(spark, folder):
-    return led.first_copies(given.files(spark, folder))
+    return led.first_copies(_files(spark, folder))
 
 
 def q_paginate(spark, folder):
@@ -165,7 +172,7 @@ def q_quota_deferral(spark, folder):
 def _unique_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Contents once each, with text, as (seq, source_hash, source_file, pages)."""
     documents = given.load(spark, folder, "documents").select("doc_id", "text")
-    first = led.first_copies(given.files(spark, folder)).select("seq", "source_hash", "source_file")
+    first = led.first_copies(_files(spark, folder)).select("seq", "source_hash", "source_file")
     return paginate(first.join(documents.withColumnRenamed("doc_id", "seq"), "seq"))
 
 
@@ -239,11 +246,9 @@ def q_severity_slices(spark, folder):
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
     """Contents of the run with the ledger's view and a simulated processing result."""
-    documents = given.load(spark, folder, "documents")
-    short = (
-        documents.where(F.length("text") < 20).select(fingerprint(F.col("text")).alias("source_hash")).distinct()
-    )
-    known = led.with_history(led.first_copies(given.files(spark, folder)), given.ledger(spark, folder))
+    files = _files(spark, folder)
+    short = files.where("chars < 20").select("source_hash").distinct()
+    known = led.with_history(led.first_copies(files), given.ledger(files))
     known = known.join(short.withColumn("short", F.lit(True)), "source_hash", "left")
     outcome = F.when(F.col("short"), "skipped").when(F.col("seq") % 5 == 0, "failed").otherwise("stored")
     stored = F.col("outcome") == "stored"
@@ -259,11 +264,12 @@ def _contents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
     nothing_deferred = F.lit(None).cast("bigint")
-    return led.path_outcomes(given.files(spark, folder), _contents(spark, folder), nothing_deferred)
+    return led.path_outcomes(_files(spark, folder), _contents(spark, folder), nothing_deferred)
 
 
 def q_unseen(spark, folder):
-    return led.unseen(given.files(spark, folder), given.ledger(spark, folder)).select("seq", "source_file", "source_hash")
+    files = _files(spark, folder)
+    return led.unseen(files, given.ledger(files)).select("seq", "source_file", "source_hash")
 
 
 def q_seen_filter(spark, folder):
@@ -272,7 +278,7 @@ def q_seen_filter(spark, folder):
 
 def q_ledger_merge(spark, folder):
     handled = _contents(spark, folder).where("todo").withColumn("processed_at", F.lit("2024-02-01").cast("timestamp"))
-    merged = led.merged_ledger(given.ledger(spark, folder), handled)
+    merged = led.merged_ledger(given.ledger(_files(spark, folder)), handled)
     return led.ledger_listing(merged).select("source_hash", "source_file", "outcome", "reason", "record_id")
 
 

@@ -189,11 +189,15 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, files_sql(SPARK), "documents")
+    """The file listing plus ``chars``, the length of the text behind a file."""
+    sized = files_sql(SPARK).replace(" FROM documents", ", length(text) AS chars FROM documents")
+    return derived(spark, folder, sized, "documents")
 
 
-def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, ledger_sql(SPARK), "documents")
+def ledger(listing: DataFrame) -> DataFrame:
+    """The earlier run's ledger for a listing of :func:`files`."""
+    sql = ledger_sql(SPARK).replace(f"({files_sql(SPARK)})", "{given}")
+    return listing.sparkSession.sql(sql, given=listing)
 
 
 def upsert_rows(spark: SparkSession, folder: str, remainder: int) -> DataFrame:

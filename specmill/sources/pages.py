@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.functions.once import evaluated_once
 from specmill.functions.text import base_name, strip
 
 MIN_CHARS = 20
@@ -24,8 +25,9 @@ def _literal(separator: str) -> str:
 
 
 def paginate(documents: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
-    """Replaces the ``text`` column by ``pages ARRAY<STRING>``. No shuffle."""
-    return documents.withColumn("pages", page_array(F.col(text), separator)).drop(text)
+    """Replaces the ``text`` column by ``pages ARRAY<STRING>``. No shuffle; each text is cut once."""
+    kept = [c for c in documents.columns if c != text]
+    return evaluated_once(documents, kept, {"pages": page_array(F.col(text), separator)})
 
 
 def page_rows(documents: DataFrame) -> DataFrame:
