@@ -15,4 +15,5 @@ def evaluated_once(rows: DataFrame, kept: list[str], columns: dict[str, Column])
     still reach the scan, filters on ``columns`` run on the finished values. No shuffle.
     """
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return rows.select(*kept, F.inline(F.array(row)))
+    # The struct gets its own projection: inside the generator it would run interpreted.
+    return rows.select(*kept, row.alias("_row")).select(*kept, F.inline(F.array("_row")))

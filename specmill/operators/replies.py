@@ -126,17 +126,18 @@ def _kind(value: Column) -> Column:
     return F.substring_index(F.substring_index(full, "<", 1), "(", 1)
 
 
-def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
-
-
 def _inner(value: Column) -> Column:
-    """The number itself: the ``value`` of an object, or the bare value."""
-    return F.when(_is_object(value), F.try_variant_get(value, "$.value", "variant")).otherwise(value)
+    """The number itself: the ``value`` of an object, or the bare value.
+
+    Type names of objects are costly to spell out and only needed without a ``value``.
+    """
+    bare = F.when(~F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.coalesce(F.try_variant_get(value, "$.value", "variant"), bare)
 
 
 def _unit(value: Column) -> Column:
-    return F.when(_is_object(value), _as_text(F.try_variant_get(value, "$.unit", "variant")))
+    """The ``unit`` of an object as text; a bare value has none."""
+    return F.try_variant_get(value, "$.unit", "string")
 
 
 def _as_text(value: Column) -> Column:
