@@ -62,9 +62,9 @@ WITH parts AS (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 ruled AS (SELECT *, CASE {cases} END AS rule FROM parts),
-globbed AS (SELECT *, CASE {globs} END AS glob FROM ruled)
+globbed AS (SELECT *, CASE {globs} END AS matched_glob FROM ruled)
 SELECT page_id, host, path, rule,
-       CASE {verdicts} WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, glob
+       CASE {verdicts} WHEN matched_glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, matched_glob
 FROM globbed
 """
 

@@ -43,13 +43,16 @@ RULES = (
 
 # What the registered query blocks where no rule fits; the subject is "." + host + path.
 BLOCK_GLOBS = (
-    "*cheap-pills*/**",
-    "*casino*/**",
-    "*free-money*/**",
-    "*viagra*/**",
-    "*payday-loan*/**",
+    "*adult-**",
+    "*ads-track**",
+    "*casino**",
+    "*cheap-pills**",
+    "*free-bets**",
+    "*payday-loan**",
+    "*spam-**",
+    "*viagra**",
+    "*.xxx",
     "*.xxx/**",
-    "*.porn*/**",
     "**.exe",
     "**.zip",
     "**/wp-login.php",
@@ -135,10 +138,10 @@ def judged_urls(
     key: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
-    """(key, host, path, rule, verdict, glob) for every row.
+    """(key, host, path, rule, verdict, matched_glob) for every row.
 
     Of the rules that fit, the longest decides (ties: longer host, then block); without one, the first of
-    ``block_globs`` that fits blocks and is named in ``glob``; everything else is allowed. A null
+    ``block_globs`` that fits blocks and is named in ``matched_glob``; everything else is allowed. A null
     URL or one without ``://`` has an empty host and path and meets the globs only. Repeated
     rows give repeated results; other columns of ``pages`` are not read. The patterns run over UTF-8 bytes.
     """
@@ -168,7 +171,7 @@ def judged_urls(
                         pa.array(verdict, pa.string()),
                         pa.array([globs[g] for g in by_glob], pa.string()),
                     ],
-                    names=[key, "host", "path", "rule", "verdict", "glob"],
+                    names=[key, "host", "path", "rule", "verdict", "matched_glob"],
                 )
 
     host = F.translate(F.regexp_extract(url, r"://([^/?#]*)", 1), UPPER, LOWER)
@@ -178,5 +181,5 @@ def judged_urls(
     ).withColumn("_subject", F.concat(F.lit("."), "host", "path"))
     kind = parts.schema[key].dataType.simpleString()
     return parts.mapInArrow(
-        judge, f"`{key}` {kind}, host string, path string, rule string, verdict string, glob string"
+        judge, f"`{key}` {kind}, host string, path string, rule string, verdict string, matched_glob string"
     )
