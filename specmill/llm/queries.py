@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import decontaminate, langid, mixing, urlfilter
+from specmill.llm import decontaminate, langid, mixing, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, items)
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged_urls(table(spark, folder, "pages"))
 
@@ -35,6 +39,7 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_toxicity": op2_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_mix_sources": op6_mix_sources,
         "op8_language_id": op8_language_id,
