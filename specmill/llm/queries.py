@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import decontaminate, langid, mixing, toxicity, urlfilter
+from specmill.llm import decontaminate, langid, mixing, neardup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    settings = neardup.SketchSettings(words=3, similarity=85)
+    return neardup.near_duplicates(table(spark, folder, "documents"), settings=settings)
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged_urls(table(spark, folder, "pages"))
 
@@ -40,6 +45,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
+        "op3_near_duplicates": op3_near_duplicates,
         "op5_url_filter": op5_url_filter,
         "op6_mix_sources": op6_mix_sources,
         "op8_language_id": op8_language_id,
