@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import decontaminate, langid, mixing, neardup, toxicity, urlfilter
+from specmill.llm import decontaminate, htmltext, langid, mixing, neardup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), settings=settings)
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extracted(table(spark, folder, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged_urls(table(spark, folder, "pages"))
 
@@ -46,6 +50,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_html_text": op4_html_text,
         "op5_url_filter": op5_url_filter,
         "op6_mix_sources": op6_mix_sources,
         "op8_language_id": op8_language_id,
