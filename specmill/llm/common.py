@@ -58,3 +58,24 @@ def share_of(rows: DataFrame, key: Column, wanted: int, total: int) -> DataFrame
     if total <= wanted:
         return rows
     return rows.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int(wanted / total * (1 << 30)))
+
+
+def grouped(batches, keys: tuple[str, ...]):
+    """Runs of rows with the same keys as dicts of lists; rows must come sorted by them."""
+    current, columns = None, None
+    for batch in batches:
+        data = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        marks = list(zip(*(data[k] for k in keys)))
+        start = 0
+        for at in range(1, len(marks) + 1):
+            if at < len(marks) and marks[at] == marks[start]:
+                continue
+            if marks[start] != current:
+                if columns is not None:
+                    yield columns
+                current, columns = marks[start], {name: [] for name in data}
+            for name in data:
+                columns[name].extend(data[name][start:at])
+            start = at
+    if columns is not None:
+        yield columns

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmill.functions.spread import spread_left_join
-from specmill.llm.common import as_bytes, slices, spaced_words
+from specmill.llm.common import as_bytes, grouped, slices, spaced_words
 from specmill.operators.components import connected_components
 from specmill.session import settled
 
@@ -285,27 +285,6 @@ def linked_between(rows: DataFrame, settings: SketchSettings) -> DataFrame:
     return dealt.mapInArrow(search, "x bigint, y bigint")
 
 
-def grouped(batches, keys: tuple[str, ...]):
-    """Runs of rows with the same keys as dicts of lists; rows must come sorted by them."""
-    current, columns = None, None
-    for batch in batches:
-        data = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        marks = list(zip(*(data[k] for k in keys)))
-        start = 0
-        for at in range(1, len(marks) + 1):
-            if at < len(marks) and marks[at] == marks[start]:
-                continue
-            if marks[start] != current:
-                if columns is not None:
-                    yield columns
-                current, columns = marks[start], {name: [] for name in data}
-            for name in data:
-                columns[name].extend(data[name][start:at])
-            start = at
-    if columns is not None:
-        yield columns
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", settings: SketchSettings = SketchSettings()
 ) -> DataFrame:

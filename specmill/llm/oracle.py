@@ -69,5 +69,50 @@ FROM globbed
 """
 
 
+OP3 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1),
+                              lambda i: array_to_string(w[i : i + 2], ' '))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT DISTINCT dx.doc_id AS x, dy.doc_id AS y FROM shared
+  JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y JOIN d dx ON dx.r = x JOIN d dy ON dy.r = y
+  WHERE 100 * m >= 85 * (nx.n + ny.n - m)),
+reach AS (
+  SELECT DISTINCT doc_id AS x, doc_id AS y FROM d
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (r) JOIN least ON least.x = d.doc_id
+"""
+
+# The pages given have one <article> each, of headings and paragraphs.
+OP4 = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+marked AS (
+  SELECT page_id, url,
+         regexp_replace(regexp_replace(regexp_replace(h, '<br>', ' ', 'g'), '</?(?:p|h1)>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h
+  FROM inner_html),
+plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'),
+         '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS h FROM marked),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(h, chr(1)),
+         lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS b FROM plain)
+SELECT page_id, url, array_to_string(b, ' ') AS text, CAST(length(array_to_string(b, ' ')) AS BIGINT) AS n_chars FROM blocks
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op5_url_filter": op5()}
+    return {
+        "op1_decontaminate": OP1,
+        "op3_near_duplicates": OP3,
+        "op4_html_text": OP4,
+        "op5_url_filter": op5(),
+    }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import decontaminate, htmltext, langid, mixing, neardup, toxicity, urlfilter
+from specmill.llm import ann, chat, decontaminate, htmltext, langid, mixing, neardup, pii, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,10 +41,22 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
 
 
+def op9_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repaired(table(spark, folder, "conversations"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -53,5 +65,8 @@ def llm_queries() -> dict[str, Query]:
         "op4_html_text": op4_html_text,
         "op5_url_filter": op5_url_filter,
         "op6_mix_sources": op6_mix_sources,
+        "op7_neighbours": op7_neighbours,
         "op8_language_id": op8_language_id,
+        "op9_pseudonyms": op9_pseudonyms,
+        "op10_chat": op10_chat,
     }
