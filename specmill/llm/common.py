@@ -53,6 +53,26 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
 
 
+# Bits of a key filter: 4 MB in all, whatever the number of keys.
+FILTER_BITS = 25
+
+
+def perhaps_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` without those whose ``column`` is surely none of the ``keys`` (one column); some others stay.
+
+    The keys set bits of a map of fixed size, in pieces of 4096 bytes, and the map is broadcast. A join that keeps
+    few rows then shuffles few. With more keys than the map has room for it lets everything through and costs nothing but itself.
+    """
+    slot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(1 << bits))
+    pieces = keys.select(F.shiftright(slot, 15).alias("_piece"), (slot % 32768).alias("_bit")).distinct()
+    pieces = pieces.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    own = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits))
+    marked = rows.withColumns({"_piece": F.shiftright(own, 15), "_at": own % 32768}).join(F.broadcast(pieces), "_piece")
+    byte = F.conv(F.hex(F.col("_map").substr((F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    place = F.expr("shiftleft(1, cast(_at % 8 AS int))")
+    return marked.where(byte.bitwiseAND(place) != 0).select(*rows.columns)
+
+
 def share_of(rows: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
     """About ``wanted`` of the ``total`` rows, chosen by a hash of ``key``; all of them where there are fewer."""
     if total <= wanted:

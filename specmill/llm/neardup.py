@@ -17,9 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmill.functions.spread import spread_left_join
-from specmill.llm.common import as_bytes, grouped, slices, spaced_words
-from specmill.operators.components import connected_components
+from specmill.llm.common import as_bytes, grouped, perhaps_in, slices, spaced_words
 from specmill.session import settled
 
 # Shingles that one group of the second look may hold on either side; larger groups are cut into several.
@@ -62,7 +60,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -178,7 +176,8 @@ def sketches(docs: DataFrame, key: str, text: str, settings: SketchSettings) ->
 
 def likely(pairs: DataFrame, members: DataFrame, settings: SketchSettings) -> DataFrame:
     """The pairs (x, y) that sizes and the joint estimate leave: five standard errors below the limit and more."""
-    sides = members.select("rep", "_n", "_regs")
+    ends = settled(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "neardup-ends")
+    sides = settled(perhaps_in(members.select("rep", "_n", "_regs"), "rep", ends), "neardup-sides")
     wide = pairs.join(
         sides.select(F.col("rep").alias("x"), F.col("_n").alias("_nx"), F.col("_regs").alias("_rx")), "x"
     )
@@ -208,7 +207,7 @@ def likely(pairs: DataFrame, members: DataFrame, settings: SketchSettings) -> Da
 def texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """(rep, text) of the documents named in ``ids``, repeated rows once."""
     found = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
-    return found.join(ids, "rep", "left_semi").dropDuplicates(["rep", "_text"])
+    return perhaps_in(found, "rep", ids).join(ids, "rep", "left_semi").dropDuplicates(["rep", "_text"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: SketchSettings) -> DataFrame:
@@ -285,6 +284,30 @@ def linked_between(rows: DataFrame, settings: SketchSettings) -> DataFrame:
     return dealt.mapInArrow(search, "x bigint, y bigint")
 
 
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for edges (a, b): the least node that is reached.
+
+    In every round a node takes the least label among its neighbours and itself, then that label's label, so the
+    distance to the least node at least halves. Labels only ever fall: the rounds end when their sum stands still. A hub's rows are
+    split by Spark's skew handling; the aggregate combines before its shuffle.
+    """
+    ends = edges.select("a", F.explode(F.array("a", "b")).alias("b")).unionByName(
+        edges.select(F.col("b").alias("a"), F.explode(F.array("a", "b")).alias("_c")).withColumnRenamed("_c", "b")
+    )
+    both = settled(ends.distinct(), "edges")
+    labels, total = both.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), None
+    while True:
+        labels = settled(labels, "labels")
+        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return labels
+        total = now
+        near = both.join(labels.select(F.col("node").alias("a"), F.col("component").alias("_near")), "a")
+        near = near.groupBy(F.col("b").alias("node")).agg(F.min("_near").alias("_near"))
+        parents = labels.select(F.col("node").alias("_near"), "component")
+        labels = near.join(parents, "_near").select("node", F.least("_near", "component").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", settings: SketchSettings = SketchSettings()
 ) -> DataFrame:
@@ -312,7 +335,10 @@ def near_duplicates(
     )
     banded = members.select("rep", F.explode("_bands").alias("_band"))
     shared = banded.groupBy("_band").agg(F.count("*").alias("_size")).where(F.col("_size") > 1)
-    buckets = settled(banded.join(shared, "_band"), "neardup-buckets")
+    shared = settled(shared, "neardup-shared")
+    # Most bands have one member: they are left out before the shuffle.
+    common = perhaps_in(banded, "_band", shared.select("_band"))
+    buckets = settled(common.join(shared, "_band"), "neardup-buckets")
     degrees = buckets.groupBy("rep").agg(F.sum("_size").alias("_degree"))
     hubs = (
         buckets.select("_band", "rep")
@@ -328,8 +354,8 @@ def near_duplicates(
         .select("x", "y")
         .distinct()
     )
-    pairs = settled(likely(stars, members, settings), "neardup-pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
+    pairs = settled(likely(settled(stars, "neardup-stars"), members, settings), "neardup-pairs")
+    ids = settled(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "neardup-ids")
     links = settled(
         confirmed(pairs, settled(texts_of(rows, ids, key, text), "neardup-texts"), settings), "neardup-links"
     )
@@ -338,13 +364,9 @@ def near_duplicates(
         links.union(second_look(rows, buckets, members, first, key, text, settings)).distinct(), "neardup-links"
     )
     last = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    labelled = spread_left_join(
-        marks.select(F.col(key), F.col("_n"), F.when(F.col(key).isNotNull(), F.col("_set")).alias("_set")),
-        reps,
-        "_set",
-        F.col(key),
-    )
-    labelled = spread_left_join(labelled, last.select(F.col("node").alias("rep"), "component"), "rep", F.col(key))
+    own_set = F.when(F.col(key).isNotNull(), F.col("_set")).alias("_set")
+    labelled = marks.select(F.col(key), F.col("_n"), own_set).join(reps, "_set", "left")
+    labelled = labelled.join(last.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.col(key).cast("bigint")
     component = F.least(F.coalesce("component", "rep", own), own)
     return labelled.select(
@@ -360,7 +382,7 @@ def second_look(
 ) -> DataFrame:
     """Links between components that share a bucket of three members or more."""
     open_buckets = buckets.where(F.col("_size") > 2).select("_band", "rep")
-    placed = spread_left_join(open_buckets, first.select(F.col("node").alias("rep"), "component"), "rep", F.col("_band"))
+    placed = open_buckets.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = settled(placed.select("_band", "rep", F.coalesce("component", "rep").alias("_comp")), "neardup-placed")
     mixed = (
         placed.groupBy("_band")
@@ -372,9 +394,7 @@ def second_look(
         mixed.where(F.col("_comp") != F.col("_low")).select(F.col("_comp").alias("a"), F.col("_low").alias("b")).distinct()
     )
     who = mixed.select("rep", "_comp").distinct().join(members.select("rep", "_n"), "rep")
-    who = spread_left_join(
-        who, clusters.select(F.col("node").alias("_comp"), F.col("component").alias("_k")), "_comp", F.col("rep")
-    )
+    who = who.join(clusters.select(F.col("node").alias("_comp"), F.col("component").alias("_k")), "_comp", "left")
     who = settled(who.select("rep", "_comp", "_k", "_n"), "neardup-who")
     # The largest component of a cluster stays; the others look for links to it and to each other.
     weights = who.groupBy("_k", "_comp").agg(F.sum("_n").alias("_w"))
@@ -387,7 +407,7 @@ def second_look(
         F.ceil((F.col("_total") - F.col("_main._w")) / F.lit(BLOCK_SHINGLES)).cast("int").alias("_nm"),
         F.ceil(F.col("_total") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_na"),
     )
-    who = spread_left_join(who, blocks, "_k", F.col("rep"))
+    who = who.join(blocks, "_k", "left")
     who = settled(who.select("rep", "_comp", "_k", "_stay", "_nm", "_na"), "neardup-blocks")
     placed_texts = texts_of(rows, who.select("rep").distinct(), key, text).join(who, "rep")
     h = F.xxhash64("rep")
