@@ -33,11 +33,14 @@ PIECE_BITS = 12
 
 @dataclass(frozen=True)
 class RepairCosts:
-    """Costs of one step each. ``unknown`` is added where a missing or unknown role gets any label."""
+    """Costs of one step each. ``unknown`` is added where a missing or unknown role gets any label.
 
-    merge: int = 2
+    Merging keeps what was said by whom, an empty turn adds nothing to it, a new label changes it.
+    """
+
+    merge: int = 1
+    insert: int = 2
     relabel: int = 3
-    insert: int = 4
     unknown: int = 1
 
 

@@ -102,5 +102,5 @@ def test_rendering(spark):
         "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n"
         "<|im_start|>user\na\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
     )
-    assert [(r.action, r.cost, r.position) for r in got] == [("insert+keep", 4, 1), ("keep", 0, 2), ("merge", 2, 2), ("keep", 0, 3)]
+    assert [(r.action, r.cost, r.position) for r in got] == [("insert+keep", 2, 1), ("keep", 0, 2), ("merge", 1, 2), ("keep", 0, 3)]
     assert repaired(turns.where("false")).collect() == []
