@@ -16,15 +16,17 @@ LANES = 64
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, by: Column, lanes: int = LANES
+    left: DataFrame, right: DataFrame, key: str, by: Column, lanes: int | None = None
 ) -> DataFrame:
     """``left`` left-joined to ``right`` (unique in ``key``), hot keys spread over lanes.
 
     Each left row gets a lane from ``by``. The right row of a key is first handed to
     the lanes that key really uses (at most ``lanes``, found by a distinct with map-side
     combine), then both sides meet on (key, lane). A key with a third of all rows
-    ends in ``lanes`` tasks; a rare key is copied as often as it has rows at most.
+    ends in ``lanes`` tasks; a rare key is copied as often as it has rows at most. There are as many
+    lanes as shuffle partitions if not given: a hot key gets as many tasks as the session has.
     """
+    lanes = lanes or max(LANES, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = left.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)))
     used = marked.select(key, "_lane").where(F.col(key).isNotNull()).distinct()
     handed = used.join(right, key)

@@ -20,11 +20,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def is_missing(text: Column) -> Column:
-    """True for null and for text made of blanks only. Never null."""
-    return text.isNull() | F.coalesce(strip(text) == "", F.lit(True))
-
-
 def base_name(path: Column) -> Column:
     """Last part of a slash-separated path."""
     return F.element_at(F.split(path, "/"), -1)

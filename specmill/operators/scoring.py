@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmill.operators.replies import MAX_ATTEMPTS, RETRY_NOTE, TextModel, is_quota_error, parsed_object, prompt
-from specmill.session import scratch_path
+from specmill.session import scratch_path, settled
 from specmill.sources.rules import RuleSet
 
 ATTEMPTS = "source_hash string, seq bigint, attempt int, reply string, error string"
@@ -56,22 +56,25 @@ def scored(
     max_attempts: int = MAX_ATTEMPTS,
     wave: int = WAVE,
     text: str = "excerpt",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Attempts for ``documents`` (source_hash, seq, excerpt), one row per call.
 
-    ``make_client`` is called once per task, on the executor. ``seq`` should be dense: it is
-    cut into waves of ``wave`` numbers. Only the ends of its range and one flag per wave
-    reach the driver.
+    ``make_client`` is called once per task, on the executor; ``tasks`` is how many run at a time, the
+    session's default parallelism if not given. ``seq`` should be dense: it is cut into waves of ``wave`` numbers. Only the
+    ends of its range and one flag per wave reach the driver.
+
+    Every task goes through its documents in arrival order. What it leaves out after its first quota error
+    therefore lies behind the first quota error of all.
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
     spark = documents.sparkSession
     path = scratch_path(spark, "attempts")
-    prompts = documents.select(
-        "source_hash",
-        F.col("seq").cast("bigint").alias("seq"),
-        prompt(F.col(text), rules).alias("prompt"),
-    )
+    # Written in ranges of seq, so that a wave reads the files of its own range only.
+    documents = documents.select("source_hash", F.col("seq").cast("bigint").alias("seq"), F.col(text).alias("excerpt"))
+    documents = settled(documents.repartitionByRange("seq").sortWithinPartitions("seq"), "to-score")
+    prompts = documents.select("source_hash", "seq", prompt(F.col("excerpt"), rules).alias("prompt"))
     call = _caller(make_client, max_attempts)
     low, high = documents.agg(F.min("seq"), F.max("seq")).first()
     attempts = spark.read.schema(ATTEMPTS)
@@ -81,9 +84,9 @@ def scored(
     while start is not None and start <= high:
         here = prompts.where((F.col("seq") >= start) & (F.col("seq") < start + wave))
         # Neighbours in arrival order lie in few files; calls are slow, so use every core.
-        here = here.repartition(spark.sparkContext.defaultParallelism, "source_hash")
+        here = here.repartition(tasks or spark.sparkContext.defaultParallelism, "source_hash")
         part = f"{path}/wave={number}"
-        here.mapInPandas(call, ATTEMPTS).write.parquet(part)
+        here.sortWithinPartitions("seq").mapInPandas(call, ATTEMPTS).write.parquet(part)
         if not attempts.parquet(part).where(is_quota_error(F.col("error"))).isEmpty():
             break
         # Sparse numbering: jump to the next document that exists.

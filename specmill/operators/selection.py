@@ -126,6 +126,8 @@ def chosen_pages(
     _check_cap(max_chars)
     whole = Window.partitionBy(document)
     scored = pages.withColumn("score", keyword_score(F.col("text"), keywords))
+    # Neither a page with a score nor one to fall back on: it cannot enter, and is dropped before the shuffle.
+    scored = scored.where((F.col("score") >= min_score) | (F.col("page_no") <= fallback_pages))
     scored = scored.withColumn("_any", F.max("score").over(whole) >= min_score)
     eligible = scored.where(
         F.when(F.col("_any"), F.col("score") >= min_score).otherwise(

@@ -78,9 +78,13 @@ def targets(current: DataFrame, batch: DataFrame, bits: int = BLOCK_BITS) -> Dat
         return _grouped_targets(reached, events)
     touched = moved.select("k").union(moved.select(F.col("before").alias("k"))).distinct()
     touched = settled(touched, "touched")
-    calm = _grouped_targets(reached.join(touched, "k", "left_anti"), events.join(touched, "k", "left_anti"))
+    # An identity may hold much of the batch: its rows are marked lane by lane.
+    marked = spread_left_join(events, touched.withColumn("touched", F.lit(True)), "k", F.col("seq"))
+    marked = settled(marked, "marked-events")
+    still = marked.where("touched IS NULL").drop("touched")
+    calm = _grouped_targets(reached.join(touched, "k", "left_anti"), still)
     stormy = _replayed_targets(
-        have.join(touched, "k", "left_semi"), events.join(touched, "k", "left_semi"), moved, bits
+        have.join(touched, "k", "left_semi"), marked.where("touched").drop("touched"), moved, bits
     )
     return calm.unionByName(stormy)
 
@@ -135,7 +139,7 @@ def _replayed_targets(have: DataFrame, events: DataFrame, moved: DataFrame, bits
         spans.where("lo <> hi OR k_lo <> k_hi").select("hash")
         .union(have.select("hash")).union(moved.select("hash")).distinct()
     )
-    marked = counted.join(sticky.withColumn("sticky", F.lit(True)), "hash", "left")
+    marked = spread_left_join(counted, sticky.withColumn("sticky", F.lit(True)), "hash", F.col("seq"))
     lane = F.when(F.col("before").isNotNull(), F.concat(F.lit("m"), F.col("seq").cast("string"))).when(
         F.col("sticky"), F.concat(F.lit("h"), F.col("hash"))
     ).otherwise("")
@@ -162,7 +166,10 @@ def _replayed_targets(have: DataFrame, events: DataFrame, moved: DataFrame, bits
             null_text.alias("slot"), "id",
         )
     )
-    script = script.join(component, "k").repartition("component").sortWithinPartitions("component", "at", "id")
+    script = spread_left_join(script, component, "k", F.coalesce("slot", "hash"))
+    # Ids stay integers in the replay: a null would turn their column into floating point.
+    script = script.withColumns({c: F.coalesce(c, F.lit(-1).cast("bigint")) for c in ("creates", "id")})
+    script = script.repartition("component").sortWithinPartitions("component", "at", "id")
     landed = settled(script.mapInPandas(_replay, "slot string, token bigint"), "landed")
     return spread_left_join(marked.select("seq", "slot"), landed, "slot", F.col("seq")).select("seq", "token")
 

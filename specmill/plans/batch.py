@@ -7,20 +7,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specmill.operators.ledger import first_copies, first_quota_seq, merged_ledger, path_outcomes, with_history
 from specmill.operators.replies import MAX_ATTEMPTS, TextModel, resolved
-from specmill.operators.scoring import scored
+from specmill.operators.scoring import WAVE, scored
 from specmill.operators.selection import MAX_CHARS, with_excerpt
 from specmill.operators.upsert import upserted
 from specmill.operators.validation import as_records, validated
 from specmill.session import settled
-from specmill.sources.files import discover, fingerprinted, in_arrival_order
-from specmill.sources.pages import MIN_CHARS, extracted_pages, without_text
+from specmill.sources.files import discover, fingerprinted, in_arrival_order, read_in_tasks
+from specmill.sources.pages import MIN_CHARS, without_text
 from specmill.sources.rules import RuleSet, check_units
 from specmill.sources.tables import ledger_table, record_table
 
-# Contents to process in, (source_hash, pages, error) out.
+# Contents to process in, (source_hash, source_file, pages, error) out, at most one row per content.
 PageLoader = Callable[[DataFrame], DataFrame]
 
 
@@ -32,6 +33,8 @@ class RunOptions:
     max_chars: int = MAX_CHARS
     min_chars: int = MIN_CHARS
     max_attempts: int = MAX_ATTEMPTS
+    wave: int = WAVE
+    tasks: int | None = None
 
 
 def run_files(
@@ -58,14 +61,16 @@ def run_files(
     )
     todo = contents.where("todo").select("source_hash", "seq", "source_file")
 
-    loaded = todo.join(load_pages(todo), "source_hash", "left")
-    loaded = without_text(loaded, options.min_chars)
-    documents = with_excerpt(loaded, max_chars=options.max_chars).select(
-        "source_hash", "seq", "skip_reason", "error", "excerpt"
+    # Pages become a skip reason and an excerpt where they are read: only these go through the join.
+    loaded = without_text(load_pages(todo), options.min_chars)
+    narrow = with_excerpt(loaded, max_chars=options.max_chars).select(
+        "source_hash", "skip_reason", "error", "excerpt"
     )
-    documents = settled(documents, "documents")
+    found = todo.select("source_hash", "seq").join(narrow.withColumn("_found", F.lit(True)), "source_hash", "left")
+    gone = F.when(F.col("_found").isNull(), "FileNotFoundError: content is no longer there")
+    documents = settled(found.withColumn("error", F.coalesce("error", gone)).drop("_found"), "documents")
     to_score = documents.where("skip_reason IS NULL AND error IS NULL")
-    attempts = scored(to_score, rules, make_client, options.max_attempts)
+    attempts = scored(to_score, rules, make_client, options.max_attempts, options.wave, tasks=options.tasks)
 
     answers = settled(resolved(attempts, rules, options.max_attempts), "answers")
     judged = documents.join(answers, "source_hash", "left")
@@ -130,7 +135,11 @@ def run_files(
         F.lit(None).cast("string").alias("part_number"),
         F.lit(0).alias("problem_count"),
     )
-    return settled(outcomes.unionByName(lost), "outcomes")
+    outcomes = settled(outcomes.unionByName(lost), "outcomes")
+    open_ended = outcomes.where("outcome IS NULL").select("source_file").head(3)
+    if open_ended:
+        raise RuntimeError(f"paths without an outcome, such as {[r.source_file for r in open_ended]}")
+    return outcomes
 
 
 def run_paths(
@@ -144,19 +153,18 @@ def run_paths(
 ) -> DataFrame:
     """Process files and folders on disk; ``read_pages`` turns one file's bytes into page texts.
 
-    The bytes are scanned once for the hashes and a second time for unsettled files
-    only, so no file content is ever shuffled for the ledger lookup.
+    Files are read once for their hashes and a second time, by name, if they are not settled yet. Their bytes
+    stay in the task that reads them.
     """
-    listing = discover(spark, paths)
-    files = in_arrival_order(fingerprinted(listing))
+    files = in_arrival_order(fingerprinted(discover(spark, paths)))
 
     def load_pages(todo: DataFrame) -> DataFrame:
-        first = files.join(todo.select("seq"), "seq", "left_semi")
-        content = listing.where("content IS NOT NULL").select("argument", "source_file", "content")
-        wanted = content.join(
-            first.select("argument", "source_file", "source_hash"), ["argument", "source_file"]
-        )
-        return extracted_pages(wanted.select("source_hash", "content"), read_pages)
+        wanted = todo.select("source_hash", "source_file", F.lit(None).cast("string").alias("error"))
+
+        def pages_of(stream) -> list[str]:
+            return [(page or "").strip() for page in read_pages(stream.read())]
+
+        return read_in_tasks(wanted, pages_of, "pages", T.ArrayType(T.StringType()))
 
     return run_files(spark, files, load_pages, root, rules, make_client, options)
 
@@ -176,7 +184,7 @@ def run_texts(
     def load_pages(todo: DataFrame) -> DataFrame:
         # Joined on the first copy's arrival number, so each content arrives once.
         return documents.join(todo.select("seq"), "seq", "left_semi").select(
-            "source_hash", "pages", F.lit(None).cast("string").alias("error")
+            "source_hash", "source_file", "pages", F.lit(None).cast("string").alias("error")
         )
 
     return run_files(documents.sparkSession, files, load_pages, root, rules, make_client, options)

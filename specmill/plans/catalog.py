@@ -15,16 +15,21 @@ from specmill.operators.scoring import scored
 from specmill.operators.selection import assembled, chosen_pages, keyword_score, with_excerpt
 from specmill.operators.validation import as_records, of_severity
 from specmill.plans import derivations as given
+from specmill.plans.batch import RunOptions, run_texts
 from specmill.plans.oracle import TEST_KEYWORDS
 from specmill.session import scratch_path, settled
 from specmill.sources.files import discover, fingerprint, fingerprinted
 from specmill.sources.pages import page_rows, paginate, without_text
 from specmill.sources.rules import load_rules
-from specmill.sources.tables import exported, imported, ledger_table
+from specmill.sources.tables import exported, imported, ledger_table, record_table
 from specmill.streaming.incremental import start_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = load_rules()
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 TEST_SELECTION = {"keywords": TEST_KEYWORDS, "min_score": 4, "max_chars": 600}
 
 
@@ -33,13 +38,35 @@ class LengthModel:
 
     def complete(self, prompt: str) -> str:
         again = prompt.endswith(RETRY_NOTE)
-        sheet = prompt.removesuffix(RETRY_NOTE).split('"""\n', 1)[1].removesuffix('\n"""')
-        chars = len(sheet)
+        chars = len(sheet_of(prompt))
         if chars % 10 == 0 or (chars % 5 == 0 and not again):
             return "no data"
         return f'{{"manufacturer": "maker", "part_number": "P{chars}"}}'
 
 
+class QuotaModel(LengthModel):
+    """Runs out of its quota at sheets of certain lengths."""
+
+    def complete(self, prompt: str) -> str:
+        if len(sheet_of(prompt)) % 400 == 7:
+            raise RuntimeError("429 RESOURCE_EXHAUSTED")
+        return super().complete(prompt)
+
+
+class LaterModel(LengthModel):
+    """Answers half of the sheets that got no answer at first."""
+
+    def complete(self, prompt: str) -> str:
+        chars = len(sheet_of(prompt))
+        if chars % 20 == 0:
+            return "no data"
+        return f'{{"manufacturer": "maker", "part_number": "P{chars}"}}'
+
+
+def sheet_of(prompt: str) -> str:
+    return prompt.removesuffix(RETRY_NOTE).split('"""\n', 1)[1].removesuffix('\n"""')
+
+
 def _paged(spark: SparkSession, folder: str) -> DataFrame:
     documents = given.load(spark, folder, "documents").select("doc_id", "text")
     return paginate(documents)
@@ -120,8 +147,8 @@ def q_page_select_long(spark, folder):
 
 
 def q_binary_discovery(spark, folder):
-    paths = [f"{folder}/{name}.parquet" for name in ("documents", "part", "pages", "conversations")]
-    found = fingerprinted(discover(spark, paths, glob="*.parquet"))
+    # Every table's file, as documents of a folder; a table that is a folder of files is listed as one.
+    found = fingerprinted(discover(spark, [folder, *[f"{folder}/{name}.parquet" for name in TABLES]], glob="*.parquet"))
     return found.select(
         "argument", F.element_at(F.split("source_file", "/"), -1).alias("file_name"), "length", "source_hash", "error"
     )
@@ -290,17 +317,45 @@ def q_outcome_lines(spark, folder):
     return _outcomes(spark, folder).select("seq", led.outcome_line().alias("line"))
 
 
-def q_stream_incremental(spark, folder):
-    root = scratch_path(spark, "incremental")
-    # A pattern, because the stream reader takes folders but no single file by name.
-    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{folder}/documents.parquet*")
-    arriving = paginate(
-        stream.select(
+def q_run_quota(spark, folder):
+    """A whole run whose model runs out of its quota on the way."""
+    outcomes = run_texts(_arrivals(spark, folder), scratch_path(spark, "run"), RULES, QuotaModel, RunOptions(wave=128))
+    return outcomes.select("seq", "outcome", "reason")
+
+
+def q_run_resume(spark, folder):
+    """The run after that one: what was stored or skipped is left alone, the rest is done; read back from both tables."""
+    root = scratch_path(spark, "run")
+    run_texts(_arrivals(spark, folder), root, RULES, QuotaModel, RunOptions(wave=128))
+    again = run_texts(_arrivals(spark, folder), root, RULES, LengthModel)
+    stored = record_table(spark, root, RULES).read().select(F.col("id").alias("record_id"), "part_number", "status")
+    ledger = ledger_table(spark, root).read().select("source_hash", F.col("outcome").alias("in_ledger"), "record_id")
+    known = ledger.join(stored, "record_id", "left")
+    return again.select("seq", "source_hash", "outcome").join(known, "source_hash", "left").select(
+        "seq", "outcome", "in_ledger", "part_number", F.col("status").alias("record_status")
+    )
+
+
+def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as arriving files with their pages."""
+    documents = given.load(spark, folder, "documents")
+    return paginate(
+        documents.select(
+            F.col("doc_id").alias("seq"),
             F.concat(F.lit("in/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
             fingerprint(F.col("text")).alias("source_hash"), "text",
         )
     )
-    start_incremental(arriving, root, RULES, LengthModel).awaitTermination()
+
+
+def q_stream_incremental(spark, folder):
+    """Two runs over a stream of three micro-batches; the second has no new files, but what failed is tried again."""
+    root, source = scratch_path(spark, "incremental"), scratch_path(spark, "arriving")
+    arrivals = _arrivals(spark, folder).drop("seq")
+    arrivals.repartition(3, "source_hash").write.parquet(source)
+    for model in (LengthModel, LaterModel):
+        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        start_incremental(stream, root, RULES, model).awaitTermination()
     return ledger_table(spark, root).read().select(
         "source_hash", "outcome", F.col("record_id").isNotNull().alias("has_record")
     )
@@ -310,7 +365,7 @@ def q_stream_incremental(spark, folder):
 
 
 def q_upsert_fast(spark, folder):
-    current = given.upsert_rows(spark, folder, 0).withColumnRenamed("seq", "id").withColumn("id", F.col("id") + 1)
+    current = given.upsert_rows(spark, folder, 0, 2).withColumnRenamed("seq", "id").withColumn("id", F.col("id") + 1)
     table, _ = up.upserted(current, given.upsert_rows(spark, folder, 1))
     return table.select("id", "source_hash", "manufacturer", "part_number", "p_size")
 
@@ -387,6 +442,17 @@ def q_problem_detail(spark, folder):
     return rec.details(_records(spark, folder))
 
 
+def q_dashboard(spark, folder):
+    form = {"status": "any", "manufacturer": "Brand#1", "sensor_type": None, "search": " in ", "cold_limit": -5}
+    matched, said, shown = rec.dashboard(_flat(spark, folder), **form)
+    none = F.lit(None)
+    return (
+        matched.select(F.lit("row").alias("part"), "id", F.col("part_number").alias("text"), none.cast("double").alias("span"))
+        .unionByName(said.select(F.lit("answer").alias("part"), none.cast("bigint").alias("id"), "text", none.cast("double").alias("span")))
+        .unionByName(shown.select(F.lit("span").alias("part"), "id", F.col("label").alias("text"), "span"))
+    )
+
+
 def q_page_of_results(spark, folder):
     return rec.page_of(_flat(spark, folder), 3, by="weight", descending=True).select("id", "part_number", "weight")
 

@@ -118,10 +118,10 @@ def ledger_sql(dialect: dict[str, str]) -> str:
       WHERE m % 4 < 3"""
 
 
-def upsert_rows_sql(remainder: int) -> str:
-    """(seq, source_hash, manufacturer, part_number, p_size) from the parts of one key class.
+def upsert_rows_sql(*classes: int) -> str:
+    """(seq, source_hash, manufacturer, part_number, p_size) from the parts of some key classes.
 
-    Class 0 plays the stored table, class 1 the batch: half of the batch revises a stored
+    Classes 0 and 2 play the stored table, class 1 the batch: half of the batch revises a stored
     part, a quarter of it is one hot part, some rows have no part number or maker.
     """
     return f"""
@@ -132,7 +132,7 @@ def upsert_rows_sql(remainder: int) -> str:
         SELECT p_partkey AS seq, p_size, 'h' || {_text('p_partkey')} AS source_hash,
           (p_partkey % 4 = 1 and p_partkey % 3 = 1) AS hot,
           case when p_partkey % 3 = 1 and p_partkey % 2 = 0 then p_partkey - 1 else p_partkey end AS g
-        FROM part WHERE p_partkey % 3 = {remainder}
+        FROM part WHERE p_partkey % 3 IN ({", ".join(map(str, classes))})
       ) keyed"""
 
 
@@ -141,7 +141,7 @@ def reidentified_old_sql() -> str:
     return f"""
       SELECT p_partkey + 1 AS id, 'h' || {_text('p_partkey')} AS source_hash, 'maker' AS manufacturer,
         'PN-' || {_text('p_partkey')} AS part_number, p_size
-      FROM part WHERE p_partkey % 3 = 0"""
+      FROM part WHERE p_partkey % 3 IN (0, 2)"""
 
 
 def reidentified_batch_sql() -> str:
@@ -200,8 +200,8 @@ def ledger(listing: DataFrame) -> DataFrame:
     return listing.sparkSession.sql(sql, given=listing)
 
 
-def upsert_rows(spark: SparkSession, folder: str, remainder: int) -> DataFrame:
-    stamped = derived(spark, folder, upsert_rows_sql(remainder), "part")
+def upsert_rows(spark: SparkSession, folder: str, *classes: int) -> DataFrame:
+    stamped = derived(spark, folder, upsert_rows_sql(*classes), "part")
     return stamped.withColumn("extracted_at", F.lit("2024-01-01").cast("timestamp"))
 
 

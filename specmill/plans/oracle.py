@@ -29,8 +29,12 @@ def _q(text: str) -> str:
 
 # -- replies and validation ------------------------------------------------------
 
-FENCE = r"^\s*```(?:json)?\s*(.*?)\s*```\s*$"
-BODY = f"case when ltrim(reply) like '```%' then regexp_extract(reply, '{FENCE}', 1, 's') else reply end"
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+BARE = f"trim(reply, {BLANKS})"
+INSIDE = f"substr({BARE}, 4, length({BARE}) - 6)"
+UNTAGGED = f"trim(case when starts_with({INSIDE}, 'json') then substr({INSIDE}, 5) else {INSIDE} end, {BLANKS})"
+FENCED = f"starts_with({BARE}, '```') and ends_with({BARE}, '```') and length({BARE}) >= 6"
+BODY = f"case when {FENCED} then {UNTAGGED} else reply end"
 NUMBER = r"[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?"
 
 
@@ -180,6 +184,16 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
     scored = f"""SELECT sha256(d.text) AS source_hash, min(length(e.excerpt)) AS chars FROM documents d
         JOIN ({full}) e ON d.doc_id = e.doc_id JOIN ({totals}) t ON d.doc_id = t.doc_id WHERE t.total >= {SHORT} GROUP BY 1"""
 
+    # Every path of a first run whose model runs out of quota, with what a healthy model makes of its content.
+    first_run = f"""
+      SELECT d.doc_id AS seq, c.first_seq, c.total, c.pages, c.chars, c.total >= {SHORT} AND c.chars % 400 = 7 AS quota,
+        case when c.total < {SHORT} then 'skipped' when c.chars % 400 = 7 or c.chars % 10 = 0 then 'failed' else 'stored' end AS now,
+        case when c.total < {SHORT} then 'skipped' when c.chars % 10 = 0 then 'failed' else 'stored' end AS healthy
+      FROM documents d JOIN (
+        SELECT sha256(x.text) AS h, min(x.doc_id) AS first_seq, min(t.total) AS total, min(t.pages) AS pages, min(length(e.excerpt)) AS chars
+        FROM documents x JOIN ({full}) e ON x.doc_id = e.doc_id JOIN ({totals}) t ON x.doc_id = t.doc_id GROUP BY 1) c
+      ON sha256(d.text) = c.h"""
+
     known = f"""
       SELECT f.seq, f.source_file, f.source_hash, l.outcome AS old, l.record_id AS old_id, c.first_seq,
         (l.outcome IS NULL OR l.outcome = 'failed') AS todo,
@@ -223,7 +237,7 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
 
     ident = "case when part_number is null then 'h|' || source_hash else 'p|' || coalesce(manufacturer, '?') || '|' || part_number end AS ident"
     upsert = f"""
-      WITH old AS (SELECT *, {ident} FROM ({upsert_rows_sql(0)}) o), new AS (SELECT *, {ident} FROM ({upsert_rows_sql(1)}) n),
+      WITH old AS (SELECT *, {ident} FROM ({upsert_rows_sql(0, 2)}) o), new AS (SELECT *, {ident} FROM ({upsert_rows_sql(1)}) n),
       last AS (SELECT ident, max(seq) AS seq, min(seq) AS first FROM new GROUP BY ident),
       fresh AS (SELECT ident, row_number() OVER (ORDER BY first) + (SELECT max(seq) + 1 FROM old) AS id
                 FROM last WHERE ident NOT IN (SELECT ident FROM old))
@@ -238,7 +252,7 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
                UNION ALL SELECT min(seq) FROM new WHERE part_number = 'HOT' AND seq > 17 HAVING count(*) > 0),
       ids AS (SELECT seq, row_number() OVER (ORDER BY seq) + (SELECT max(id) FROM old) AS id FROM born),
       ends AS (
-        SELECT k + 1 AS id, case when k % 4 = 0 then 10 * k + 4 else 10 * k + 1 end AS seq FROM (SELECT id - 1 AS k FROM old) o WHERE k % 2 = 0
+        SELECT k + 1 AS id, case when k % 4 = 0 then 10 * k + 4 else 10 * k + 1 end AS seq FROM (SELECT id - 1 AS k FROM old) o WHERE k % 6 = 0
         UNION ALL SELECT i.id, case when (i.seq // 10) % 4 = 0 then i.seq + 3 else i.seq end FROM ids i WHERE i.seq % 10 = 2
         UNION ALL SELECT i.id, 17 FROM ids i WHERE i.seq = 16
         UNION ALL SELECT i.id, (SELECT max(seq) FROM new WHERE part_number = 'HOT') FROM ids i WHERE i.seq % 10 = 6 AND i.seq <> 16)
@@ -336,7 +350,31 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
         "q_score_job": f"""SELECT source_hash, attempt, case when chars % 10 = 0 then false when chars % 5 = 0 then attempt = 2 else true end AS usable
             FROM ({scored}) s, unnest([1, 2, 3]) t(attempt)
             WHERE attempt <= case when chars % 10 = 0 then 3 when chars % 5 = 0 then 2 else 1 end""",
-        "q_stream_incremental": f"""SELECT source_hash, case when chars % 10 = 0 then 'failed' else 'stored' end AS outcome,
-              chars % 10 <> 0 AS has_record FROM ({scored}) s
+        "q_run_quota": f"""
+            SELECT seq, case when seq > cut then 'deferred' when seq > first_seq and now <> 'failed' then 'unchanged' else now end AS outcome,
+              case when seq > cut then 'API quota exhausted; run again later'
+                   when seq > first_seq and now <> 'failed' then 'already ' || now
+                   when now = 'skipped' then 'doc-' || first_seq || '.pdf: only ' || total || ' characters of text across ' || pages
+                     || ' page(s). Is this a scanned image?'
+                   when quota then 'API quota exhausted (HTTP 429); run again later'
+                   when now = 'failed' then 'No usable reply after 3 attempt(s): reply is not valid JSON' end AS reason
+            FROM ({first_run}) r LEFT JOIN (SELECT min(first_seq) AS cut FROM ({first_run}) q WHERE quota) c ON true""",
+        "q_run_resume": f"""
+            SELECT seq, case when (first_seq < cut and now <> 'failed') or (seq > first_seq and healthy <> 'failed') then 'unchanged' else healthy end AS outcome,
+              healthy AS in_ledger, case when healthy = 'stored' then 'P' || chars end AS part_number,
+              case when healthy = 'stored' then 'error' end AS record_status
+            FROM ({first_run}) r LEFT JOIN (SELECT coalesce(min(first_seq), 1000000000) AS cut FROM ({first_run}) q WHERE quota) c ON true""",
+        "q_dashboard": f"""
+            WITH f AS (SELECT * FROM {records}), m AS (SELECT * FROM f WHERE manufacturer = 'Brand#1' AND contains(lower({part}), 'in')
+              AND operating_temp_min <= -5)
+            SELECT 'row' AS part, id, part_number AS text, cast(null as double) AS span FROM m
+            UNION ALL SELECT 'answer', null, case when total = 0 then 'none' when matched = 0 then 'No sensors match. Loosen a filter to see more.'
+              else matched || ' of ' || total || case when matched = 1 then ' sensor matches.' else ' sensors match.' end ||
+                case when flagged > 0 then ' ' || flagged || ' of them need attention.' else '' end end, null
+            FROM (SELECT (SELECT count(*) FROM f) AS total, count(*) AS matched, count(*) FILTER (status <> 'ok') AS flagged FROM m) c
+            UNION ALL SELECT 'span', id, case when {part} <> '' then part_number else {base} end, operating_temp_max - operating_temp_min
+            FROM m WHERE operating_temp_min is not null AND operating_temp_max is not null""",
+        "q_stream_incremental": f"""SELECT source_hash, case when chars % 20 = 0 then 'failed' else 'stored' end AS outcome,
+              chars % 20 <> 0 AS has_record FROM ({scored}) s
             UNION ALL SELECT DISTINCT sha256(text), 'skipped', false FROM documents WHERE doc_id IN (SELECT doc_id FROM ({totals}) t WHERE total < {SHORT})""",
     }

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specmill.functions.spread import dense_position
 from specmill.session import settled
 
 DOCUMENT_GLOB = "*.pdf"
-# Spark reads a file's bytes into one row; larger files are listed, not read.
-MAX_BYTES = 1 << 30
-TOO_LARGE = "file is larger than one row may hold"
+# Bytes of a file that a task holds while it hashes it.
+CHUNK = 1 << 22
+LISTED = "argument int, source_file string, length bigint, error string"
 
 
 def fingerprint(content: Column) -> Column:
@@ -22,64 +27,100 @@ def fingerprint(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(target) and system.getFileStatus(target).isDirectory()
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def discover(
-    spark: SparkSession, paths: Sequence[str], glob: str = DOCUMENT_GLOB, max_bytes: int = MAX_BYTES
-) -> DataFrame:
-    """Files to process: (argument, source_file, length, content, error).
+def _kind_of(spark: SparkSession, path: str) -> tuple[str, str]:
+    """("folder", "file" or "gone") and the full name of a path, with one look at the file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        found = system.getFileStatus(target)
+    except Py4JJavaError as problem:
+        if "FileNotFoundException" in problem.java_exception.getClass().getName():
+            return "gone", path
+        raise
+    return ("folder" if found.isDirectory() else "file"), found.getPath().toString()
+
+
+def discover(spark: SparkSession, paths: Sequence[str], glob: str = DOCUMENT_GLOB) -> DataFrame:
+    """Files to process: (argument, source_file, length, error), no contents.
 
     A folder contributes its direct children matching ``glob`` (case-sensitive); a path
     to a file is taken whatever it is called; a path that is not there becomes
-    an error row. Nothing is deduplicated. ``argument`` is the position in ``paths``.
+    an error row. Nothing is deduplicated. ``argument`` is the position in ``paths``. All folders are listed by one scan
+    and all single files by another, whatever their number.
     """
-    parts = []
+    kinds: dict[str, list[tuple[int, str]]] = {"folder": [], "file": [], "gone": []}
     for position, path in enumerate(paths):
-        if not _exists(spark, path):
-            gone = spark.range(1).select(
-                F.lit(position).alias("argument"),
-                F.lit(path).alias("source_file"),
-                F.lit(None).cast("bigint").alias("length"),
-                F.lit(None).cast("binary").alias("content"),
-                F.lit(f"FileNotFoundError: No such file: {path}").alias("error"),
-            )
-            parts.append(gone)
-            continue
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-        if _is_folder(spark, path):
-            reader = reader.option("pathGlobFilter", glob)
-        listed = reader.load(path)
-        # The length filter is pushed into the listing, so oversized bytes are never read.
-        for size_ok in (True, False):
-            chosen = listed.where(
-                F.col("length") <= max_bytes if size_ok else F.col("length") > max_bytes
-            )
-            parts.append(
-                chosen.select(
-                    F.lit(position).alias("argument"),
-                    F.col("path").alias("source_file"),
-                    "length",
-                    (F.col("content") if size_ok else F.lit(None).cast("binary")).alias("content"),
-                    F.lit(None if size_ok else TOO_LARGE).cast("string").alias("error"),
-                )
-            )
+        kind, full = _kind_of(spark, path)
+        kinds[kind].append((position, full))
+    gone = [(i, p, None, f"FileNotFoundError: No such file: {p}") for i, p in kinds["gone"]]
+    parts = [spark.createDataFrame(gone, LISTED)]
+    for kind, options, name in (
+        ("folder", {"pathGlobFilter": glob}, F.regexp_replace("source_file", "/[^/]*$", "")),
+        ("file", {}, F.col("source_file")),
+    ):
+        if kinds[kind]:
+            reader = spark.read.format("binaryFile").options(recursiveFileLookup="false", **options)
+            # Only names and lengths are used, so no file is opened.
+            listed = reader.load(sorted({p for _, p in kinds[kind]})).select(F.col("path").alias("source_file"), "length")
+            asked = spark.createDataFrame(kinds[kind], "argument int, _asked string")
+            found = listed.distinct().withColumn("_asked", name).join(asked, "_asked")
+            parts.append(found.select("argument", "source_file", "length", F.lit(None).cast("string").alias("error")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def opened(path: str):
+    """A stream over the bytes of a file, wherever executors reach it."""
+    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    return system.open_input_stream(name)
+
+
+def read_in_tasks(files: DataFrame, read: Callable, value: str, kind: T.DataType) -> DataFrame:
+    """Adds ``value``: what ``read(stream)`` makes of each file that has no ``error`` yet; its failure becomes the ``error``.
+
+    The bytes stay in the task that reads them.
+    """
+    columns = [c for c in files.columns if c != "error"]
+    schema = files.select(*columns, "error").schema.add(value, kind)
+
+    def run(batches):
+        for batch in batches:
+            made, errors = [], []
+            for path, error in zip(batch["source_file"], batch["error"]):
+                result = None
+                if error is None:
+                    try:
+                        with opened(path) as stream:
+                            result = read(stream)
+                    except Exception as problem:  # noqa: BLE001 - a bad file is a row, not a crash
+                        error = f"{type(problem).__name__}: {problem}"
+                made.append(result)
+                errors.append(error)
+            out = batch[columns].copy()
+            out["error"] = pd.Series(errors, index=out.index, dtype=object)
+            out[value] = pd.Series(made, index=out.index, dtype=object)
+            yield out
+
+    # Names are few bytes each: without dealing them out anew, one task would read all files.
+    spread = files.repartition(files.sparkSession.sparkContext.defaultParallelism, "source_file")
+    return spread.mapInPandas(run, schema)
+
+
+def _digest(stream) -> str:
+    made = hashlib.sha256()
+    while chunk := stream.read(CHUNK):
+        made.update(chunk)
+    return made.hexdigest()
+
+
 def fingerprinted(files: DataFrame) -> DataFrame:
-    """Replaces ``content`` by ``source_hash``; the bytes go no further than the scan."""
-    return files.withColumn("source_hash", fingerprint(F.col("content"))).drop("content")
+    """Adds ``source_hash``, read in pieces: a file of any length is hashed, and its bytes go nowhere."""
+    return read_in_tasks(files, _digest, "source_hash", T.StringType())
 
 
 def in_arrival_order(files: DataFrame) -> DataFrame:

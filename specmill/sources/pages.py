@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from specmill.functions.once import evaluated_once
 from specmill.functions.text import base_name, strip
@@ -38,37 +34,6 @@ def page_rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def extracted_pages(
-    files: DataFrame, read_pages: Callable[[bytes], list[str]], content: str = "content"
-) -> DataFrame:
-    """Pages of binary files through a caller's page reader.
-
-    The reader gets the bytes of one file and returns its page texts. It runs in
-    Arrow batches; a file it cannot read becomes a row with ``error`` instead of ending the job.
-    """
-    kept = [c for c in files.columns if c != content]
-    schema = files.select(*kept).schema.add("pages", T.ArrayType(T.StringType())).add(
-        "error", T.StringType()
-    )
-
-    def run(batches):
-        for batch in batches:
-            pages, errors = [], []
-            for blob in batch[content]:
-                try:
-                    pages.append([(page or "").strip() for page in read_pages(bytes(blob))])
-                    errors.append(None)
-                except Exception as problem:  # noqa: BLE001 - a bad file is a row, not a crash
-                    pages.append(None)
-                    errors.append(f"{type(problem).__name__}: {problem}")
-            out = batch[kept].copy()
-            out["pages"] = pd.Series(pages, index=out.index, dtype=object)
-            out["error"] = pd.Series(errors, index=out.index, dtype=object)
-            yield out
-
-    return files.mapInPandas(run, schema)
-
-
 def text_length(pages: Column) -> Column:
     """Characters over all pages."""
     return F.aggregate(pages, F.lit(0), lambda total, page: total + F.length(page))

@@ -7,8 +7,10 @@ Readers that resolved the old pointer keep reading the old snapshot.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,7 @@ class SnapshotTable:
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self._read_version: int | None = None
 
     def _current(self) -> tuple[int, str] | None:
         pointers = f"{self.root}/pointer"
@@ -48,27 +51,48 @@ class SnapshotTable:
         return (last["version"], last["path"]) if last else None
 
     def read(self) -> DataFrame:
-        """The current snapshot; an empty table before the first write."""
+        """The current snapshot; an empty table before the first write. The next ``replace`` builds on this version."""
         current = self._current()
+        self._read_version = current[0] if current else 0
         if current is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{current[1]}")
 
     def replace(self, rows: DataFrame, sort: list[str] | None = None) -> None:
-        """Write ``rows`` as the new snapshot and move the pointer to it.
+        """Write ``rows`` as the version after the one last read (or the current one), and move the pointer to it.
 
         ``sort`` orders rows inside each file, which makes Parquet's min/max statistics
         useful for later filters on those columns.
         """
-        current = self._current()
-        version = current[0] + 1 if current else 1
+        if self._read_version is None:
+            self.read()
+        version = self._read_version + 1
         path = f"snapshot-{version:08d}-{uuid.uuid4().hex[:8]}"
         ordered = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         if sort:
             ordered = ordered.sortWithinPartitions(*sort)
         ordered.write.mode("errorifexists").parquet(f"{self.root}/{path}")
-        pointer = self.spark.createDataFrame([(version, path)], "version bigint, path string")
-        pointer.coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+        self._claim(version, path)
+        self._read_version = version
+
+    def _claim(self, version: int, path: str) -> None:
+        """Make ``path`` version ``version``; of two writers that started from one version, the second fails.
+
+        The file system creates the version's pointer file only if it is not there yet.
+        """
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer/version-{version:08d}.json")
+        system = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            stream = system.create(target, False)
+        except Py4JJavaError as problem:
+            raise ConcurrentWriteError(f"{self.root}: version {version} was written by another run") from problem
+        stream.write(bytearray(json.dumps({"version": version, "path": path}).encode()))
+        stream.close()
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another run has written the table since this one read it."""
 
 
 def record_table(spark: SparkSession, root: str, rules: RuleSet) -> SnapshotTable:

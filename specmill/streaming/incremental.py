@@ -1,23 +1,34 @@
 """The batch job over a growing folder or table, one micro-batch at a time.
 
-The ledger is the only state: contents are recognised by their hash, so renamed files
-do no work, and a file that failed comes back when it is offered again. Duplicates are
-not dropped in the stream, because failed files must stay eligible.
+The ledger is the state: contents are recognised by their hash, so renamed files do no
+work. Files that failed or were deferred are kept in a pending table, because the source's checkpoint moves past
+them; every run begins with them, whether new files have arrived or not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from specmill.operators.replies import TextModel
+from specmill.operators.ledger import DEFERRED_REASON
+from specmill.operators.replies import QUOTA_REASON, TextModel
 from specmill.plans.batch import RunOptions, run_files
-from specmill.session import scratch_path
+from specmill.session import settled
 from specmill.sources.files import in_arrival_order
 from specmill.sources.rules import RuleSet
+from specmill.sources.tables import SnapshotTable
+
+PENDING = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("source_hash", T.StringType()),
+        T.StructField("pages", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def start_incremental(
@@ -29,12 +40,15 @@ def start_incremental(
     options: RunOptions = RunOptions(),
     on_outcomes: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Run every available micro-batch of ``stream`` (source_file, source_hash, pages), then stop.
+    """Run the pending files and every available micro-batch of ``stream`` (source_file, source_hash, pages), then stop.
 
-    ``on_outcomes`` receives each micro-batch's outcome rows. A batch that is run again
-    after a crash finds its files in the ledger and leaves the tables as they are.
+    ``on_outcomes`` receives each batch's outcome rows; the batch of pending files has number -1. A quota error ends the
+    model calls of the whole run: what arrives in later micro-batches is deferred, and is pending for the next run. A batch
+    that is run again after a crash finds its files in the ledger and leaves the tables as they are.
     """
     spark = stream.sparkSession
+    pending = pending_table(spark, root)
+    run = {"quota": False}
 
     def handle(batch: DataFrame, number: int) -> None:
         # Only names and hashes are sorted; page texts are read again for unsettled contents.
@@ -45,16 +59,55 @@ def start_incremental(
             keys = ["source_file", "source_hash"]
             wanted = batch.join(todo.select(*keys), keys, "left_semi")
             return wanted.select(
-                "source_hash", "pages", F.lit(None).cast("string").alias("error")
+                "source_hash", "source_file", "pages", F.lit(None).cast("string").alias("error")
             ).dropDuplicates(["source_hash"])
 
-        outcomes = run_files(spark, files, load_pages, root, rules, make_client, options)
+        if run["quota"]:
+            outcomes = settled(all_deferred(files), "outcomes")
+        else:
+            outcomes = run_files(spark, files, load_pages, root, rules, make_client, options)
+            run["quota"] = bool(outcomes.where("outcome = 'deferred'").head(1)) or quota_failed(outcomes)
+        again = outcomes.where(F.col("outcome").isin("failed", "deferred")).select("source_file", "source_hash").distinct()
+        left = batch.select("source_file", "source_hash", "pages").join(again, ["source_file", "source_hash"], "left_semi")
+        # The first batch holds all that was pending, so what it leaves replaces the table.
+        if number >= 0:
+            left = left.unionByName(pending.read())
+        pending.replace(left.dropDuplicates(["source_file", "source_hash"]))
         if on_outcomes is not None:
             on_outcomes(outcomes, number)
 
+    waiting = pending.read()
+    if waiting.head(1):
+        handle(waiting, -1)
     return (
         stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint or f"{root}/stream")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def pending_table(spark: SparkSession, root: str) -> SnapshotTable:
+    """Files to offer again, with their pages."""
+    return SnapshotTable(spark, f"{root}/pending", PENDING)
+
+
+def quota_failed(outcomes: DataFrame) -> bool:
+    """Whether a path of this batch hit the quota itself: the last one may leave nothing behind it to defer."""
+    return bool(outcomes.where((F.col("outcome") == "failed") & (F.col("reason") == QUOTA_REASON)).head(1))
+
+
+def all_deferred(files: DataFrame) -> DataFrame:
+    """Outcomes of a batch that arrives after the quota is used up."""
+    none = F.lit(None)
+    return files.select(
+        "seq",
+        "source_file",
+        "source_hash",
+        F.lit("deferred").alias("outcome"),
+        F.lit(DEFERRED_REASON).alias("reason"),
+        none.cast("bigint").alias("record_id"),
+        none.cast("string").alias("status"),
+        none.cast("string").alias("part_number"),
+        F.lit(0).alias("problem_count"),
+    )

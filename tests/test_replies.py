@@ -35,7 +35,7 @@ def test_reply_becomes_exactly_the_rule_fields(spark, rules, good):
     assert raw["measuring_range"] == "True"
     assert raw["ip_rating"] == "24.0"
     assert raw["response_time"] == {"value": "3000", "unit": None, "kind": "BIGINT"}
-    assert raw["supply_voltage_min"] == {"value": "18", "unit": "V DC", "kind": "BIGINT"}
+    assert raw["supply_voltage_min"] == {"value": "9", "unit": "V DC", "kind": "BIGINT"}
 
 
 def test_fences(spark, rules, good):
@@ -115,7 +115,7 @@ def test_quota_classifier(spark):
 def test_prompt_fences_the_text_and_adds_the_note_once(spark, rules):
     df = spark.createDataFrame([('Output """4-20 mA""" end',)], "t string")
     first, again = df.select(prompt(F.col("t"), rules), prompt(F.col("t"), rules, retry=True)).first()
-    assert all(f"- {name}: " in first for name in rules.names)
+    assert all(f". {name}: " in first for name in rules.names)
     assert "Output '''4-20 mA''' end" in first and first.count('"""') == 2
     assert RETRY_NOTE not in first and again == first + RETRY_NOTE
-    assert "(expected unit V)" in prompt_head(rules)
+    assert "usually in V" in prompt_head(rules)

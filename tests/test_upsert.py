@@ -100,8 +100,8 @@ def test_hot_identity_without_and_with_movers(spark):
 
 
 def test_revision_and_rewording_keep_the_id(spark):
-    first = {**row(0, "ifm", "TN2405", "a"), "id": 7}
-    compare(spark, [first], [row(0, "ifm", "TN2405", "b"), row(1, "ifm", "Omnigrad TN2405", "b")], bits=20)
+    first = {**row(0, "Nordlicht", "NL-770", "a"), "id": 7}
+    compare(spark, [first], [row(0, "Nordlicht", "NL-770", "b"), row(1, "Nordlicht", "Level NL-770", "b")], bits=20)
     compare(spark, [], [row(5, None, "X", "a"), row(9, None, "X", "b"), row(11, None, None, "c"), row(12, "", "X", "d")], bits=20)
 
 

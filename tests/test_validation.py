@@ -28,7 +28,7 @@ def codes(row, field=None):
 def test_good_reply_has_no_problem(spark, rules, good):
     row = check(spark, rules, good)[0]
     assert row["status"] == "ok" and row["problems"] == []
-    assert row["data"]["operating_temp_min"] == -25 and row["data"]["weight"] == 120
+    assert row["data"]["operating_temp_min"] == -15 and row["data"]["weight"] == 310
 
 
 def test_missing_values(spark, rules, good):
@@ -72,6 +72,11 @@ def test_unusable_numbers(spark, rules, good):
         assert codes(row) == ["not_a_number"], value
         assert row["data"]["weight"] is None
         assert len(row["problems"][0]["message"]) < 80
+    long = json.dumps({**good, "weight": number("?", "g")}).replace('"?"', "9" * 1001)
+    row = check(spark, rules, long)[0]
+    assert codes(row) == ["not_a_number"] and row["data"]["supply_voltage_min"] == 9
+    row = check(spark, rules, long.replace("9" * 1001, "0." + "3" * 2000))[0]
+    assert row["problems"] == [] and row["data"]["weight"] == 0.333
     fine = [("1_000", 1000), (" 12 ", 12), ("１２", 12), (True, 1), (".5", 0.5), ("1e3", 1000), ("+7", 7)]
     rows = check(spark, rules, *[{**good, "weight": number(v, "g")} for v, _ in fine])
     for (value, expected), row in zip(fine, rows):
@@ -116,7 +121,7 @@ def test_severity_slices_and_records(spark, rules, good):
     ).first()
     assert [p["field"] for p in errors] == ["part_number"] and [p["field"] for p in warnings] == ["weight"]
     record = as_records(checked, rules).first()
-    assert record["manufacturer"] == "ifm electronic gmbh" and record["part_number"] is None
+    assert record["manufacturer"] == "Nordlicht Messtechnik AG" and record["part_number"] is None
     assert record["component_type"] == "sensor" and record["extracted_at"] is not None
 
 
