@@ -18,7 +18,7 @@ from specmill.plans import derivations as given
 from specmill.plans.batch import RunOptions, run_texts
 from specmill.plans.oracle import TEST_KEYWORDS
 from specmill.session import scratch_path, settled
-from specmill.sources.files import discover, fingerprint, fingerprinted
+from specmill.sources.files import discover, exists, fingerprint, fingerprinted, state_of
 from specmill.sources.pages import page_rows, paginate, without_text
 from specmill.sources.rules import load_rules
 from specmill.sources.tables import exported, imported, ledger_table, record_table
@@ -72,13 +72,13 @@ def _paged(spark: SparkSession, folder: str) -> DataFrame:
     return paginate(documents)
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
 def _stored_once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from a folder, written once per application and then only read."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _stored:
+    """A table derived from a folder, written once per application and state of the folder, and then only read."""
+    key = (spark.sparkContext.applicationId, folder, name, state_of(spark, folder))
+    if key not in _stored or not exists(spark, _stored[key]):
         path = scratch_path(spark, name)
         build().write.parquet(path)
         _stored[key] = path

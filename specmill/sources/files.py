@@ -27,12 +27,20 @@ def fingerprint(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of what lies directly in a folder: another value once something there is written anew."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def _kind_of(spark: SparkSession, path: str) -> tuple[str, str]:
     """("folder", "file" or "gone") and the full name of a path, with one look at the file system."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

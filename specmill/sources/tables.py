@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.numbers import shown
-from specmill.sources.files import _exists
+from specmill.sources.files import exists
 from specmill.sources.rules import PROBLEM, RuleSet
 
 LEDGER = T.StructType(
@@ -40,7 +40,7 @@ class SnapshotTable:
 
     def _current(self) -> tuple[int, str] | None:
         pointers = f"{self.root}/pointer"
-        if not _exists(self.spark, pointers):
+        if not exists(self.spark, pointers):
             return None
         last = (
             self.spark.read.schema("version bigint, path string")
