@@ -15,7 +15,7 @@ from specmill.operators.scoring import WAVE, scored
 from specmill.operators.selection import MAX_CHARS, with_excerpt
 from specmill.operators.upsert import upserted
 from specmill.operators.validation import as_records, validated
-from specmill.session import settled
+from specmill.session import scratch_scope, settled
 from specmill.sources.files import discover, fingerprinted, in_arrival_order, read_in_tasks
 from specmill.sources.pages import MIN_CHARS, without_text
 from specmill.sources.rules import RuleSet, check_units
@@ -48,10 +48,23 @@ def run_files(
 ) -> DataFrame:
     """Process ``files`` (seq, source_file, source_hash, error) against the tables below ``root``.
 
-    Returns one outcome row per path. Records are written before the ledger: a run that
+    Returns one outcome row per path; what the run wrote in between is removed at its end. Records are written before the ledger: a run that
     dies in between processes those files again and updates the same records.
     Files with an ``error`` and no hash fail without a ledger entry.
     """
+    with scratch_scope(spark):
+        return _run_files(spark, files, load_pages, root, rules, make_client, options)
+
+
+def _run_files(
+    spark: SparkSession,
+    files: DataFrame,
+    load_pages: PageLoader,
+    root: str,
+    rules: RuleSet,
+    make_client: Callable[[], TextModel],
+    options: RunOptions,
+) -> DataFrame:
     check_units(rules)
     records, ledger = record_table(spark, root, rules), ledger_table(spark, root)
     old_ledger = ledger.read()
@@ -135,7 +148,7 @@ def run_files(
         F.lit(None).cast("string").alias("part_number"),
         F.lit(0).alias("problem_count"),
     )
-    outcomes = settled(outcomes.unionByName(lost), "outcomes")
+    outcomes = settled(outcomes.unionByName(lost), "outcomes", lasting=True)
     open_ended = outcomes.where("outcome IS NULL").select("source_file").head(3)
     if open_ended:
         raise RuntimeError(f"paths without an outcome, such as {[r.source_file for r in open_ended]}")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,17 +50,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+# Paths made inside the open scopes of this thread, innermost last.
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes, at its end, the scratch tables made inside it in this thread, unless they were made to last."""
+    opened = _scopes.__dict__.setdefault("paths", [])
+    opened.append([])
+    try:
+        yield
+    finally:
+        for path in opened.pop():
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    if not lasting and _scopes.__dict__.get("paths"):
+        _scopes.paths[-1].append(path)
+    return path
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def settled(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back; a ``lasting`` table outlives the scope it is made in.
 
     Cuts lineage reliably: lost executors re-read the table and never repeat what
     produced it. Used where that work is iterative, costly or not repeatable.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, lasting)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -75,6 +75,19 @@ class SnapshotTable:
         self._claim(version, path)
         self._read_version = version
 
+    def remove_old(self, keep: int = 2) -> None:
+        """Delete all snapshots but those of the last ``keep`` versions; readers of older ones must be done."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        last = self._current()
+        folder = jvm.org.apache.hadoop.fs.Path(self.root)
+        if last is None:
+            return
+        system = folder.getFileSystem(conf)
+        for found in system.listStatus(folder):
+            name = found.getPath().getName()
+            if name.startswith("snapshot-") and int(name.split("-")[1]) <= last[0] - keep:
+                system.delete(found.getPath(), True)
+
     def _claim(self, version: int, path: str) -> None:
         """Make ``path`` version ``version``; of two writers that started from one version, the second fails.
 

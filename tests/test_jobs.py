@@ -1,6 +1,7 @@
 """Whole runs with scripted models: outcomes, ledger, retries, quota, force, streams."""
 
 import json
+import os
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from specmill.operators.ledger import outcome_line, run_failed, run_summary
 from specmill.operators.scoring import scored
 from specmill.plans.batch import RunOptions, run_paths, run_texts
+from specmill.session import shared_folder
 from specmill.sources.files import discover, fingerprint, fingerprinted, in_arrival_order
 from specmill.sources.pages import paginate, without_text
 from specmill.sources.tables import exported, imported, ledger_table, record_table
@@ -153,12 +155,16 @@ def test_every_path_has_one_outcome_when_the_quota_ends_in_the_middle(spark, rul
     names[250] = names[3]
     names[100] = names[4]
     options = RunOptions(wave=64, tasks=5)
+    shared = shared_folder(spark)
+    before = set(os.listdir(shared))
     got = run_texts(documents(spark, names), str(tmp_path / "t"), rules, Scripted(good, calls, quota={"Q"}), options)
     want = [("stored" if i < 170 else "failed" if i == 170 else "deferred") for i in range(300)]
     want[100] = "unchanged"
     assert [r["outcome"] for r in got.orderBy("seq").collect()] == want
     counts = {r["outcome"]: r["files"] for r in run_summary(got).collect()}
     assert counts == {"stored": 169, "skipped": 0, "failed": 1, "deferred": 129, "unchanged": 1}
+    # Nothing but the outcomes is left of what the run wrote in between.
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before] == ["outcomes"]
 
 
 def test_stream_offers_failed_and_deferred_files_again(spark, rules, good, tmp_path, calls):
