@@ -2,8 +2,9 @@
 
 Every tree hashes vectors to long bit strings and keeps them as a sorted array. A query descends each tree to
 its longest matching prefix and then ascends all trees together, one bit at a time, until enough vectors share a
-prefix with it in some tree. Rows are searched in blocks: each block holds a forest over its own rows, and
-the best of all blocks are merged, so no bucket of a popular hash ever meets in one task.
+prefix with it in some tree. Rows are searched in blocks: each block holds a forest over its own distinct vectors, and
+the best of all blocks are merged, so no bucket of a popular hash ever meets in one task. Rows are dealt over
+the blocks by a hash, whatever order they are stored in: every block is a sample of the table, as the one that fits the forest.
 """
 
 from __future__ import annotations
@@ -62,10 +63,11 @@ class Forest:
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
-    def candidates(self, codes: np.ndarray, wanted: float):
+    def candidates(self, codes: np.ndarray, wanted: float, enough_of=lambda query, found: True):
         """For each query, given its codes, the rows that share a prefix with it in some tree.
 
-        The prefix is the longest for which all trees together offer ``wanted`` rows (a row counts once for each tree).
+        The prefix is the longest for which all trees together offer ``wanted`` rows (a row counts once for each tree) and
+        ``enough_of(query, rows)`` holds, or else the empty one, which all rows share.
         """
         trees, bits, rows = len(codes), self.planes.settings.bits, self.sorted.shape[1]
         low = np.zeros((bits + 1, trees, codes.shape[1]), np.int64)
@@ -79,11 +81,15 @@ class Forest:
         enough = offered >= min(wanted, rows * trees)
         level = bits - np.argmax(enough[::-1], axis=0)
         for query in range(codes.shape[1]):
-            found = np.zeros(rows, bool)
-            for tree in range(trees):
-                at = (level[query], tree, query)
-                found[self.order[tree, low[at] : high[at]]] = True
-            yield np.flatnonzero(found)
+            for depth in range(level[query], -1, -1):
+                found = np.zeros(rows, bool)
+                for tree in range(trees):
+                    at = (depth, tree, query)
+                    found[self.order[tree, low[at] : high[at]]] = True
+                found = np.flatnonzero(found)
+                if depth == 0 or enough_of(query, found):
+                    break
+            yield found
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -100,9 +106,8 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     ).select(F.col(key).cast("bigint").alias("_id"), value.cast("array<double>").alias("_v"))
 
 
-def fitted(rows: DataFrame, dimension: int, k: int, settings: ForestSettings) -> tuple[Planes, float]:
-    """Planes around the centre of a bounded sample, and the share of rows to ascend to."""
-    total = rows.count()
+def fitted(rows: DataFrame, dimension: int, k: int, settings: ForestSettings, total: int) -> tuple[Planes, float]:
+    """Planes around the centre of a bounded sample, and the share of a block's distinct vectors to ascend to."""
     taken = share_of(rows, F.col("_id"), settings.sample, total).limit(2 * settings.sample).collect()
     sample = np.array([r["_v"] for r in sorted(taken, key=lambda r: (r["_id"], r["_v"]))], np.float64).reshape(-1, dimension)
     units = sample / np.linalg.norm(sample, axis=1, keepdims=True)
@@ -148,7 +153,14 @@ def neighbours(
         count = asked.count()
         if not count:
             continue
-        planes, share = fitted(rows, size, k, settings)
+        total = rows.count()
+        planes, share = fitted(rows, size, k, settings, total)
+        block = max(k, settings.block_bytes // (8 * size))
+        # Equal rows meet in one partition, so blocks do not depend on how the table is stored. The order by the same hash
+        # makes each block of a partition a sample as well.
+        mixed_up = F.xxhash64("_id", "_v", F.lit(settings.seed))
+        dealt = rows.withColumn("_at", mixed_up).repartition(max(1, -(-total // block)), "_at")
+        dealt = dealt.sortWithinPartitions("_at").select("_id", "_v")
         for part in range(passes := -(-count * size * 8 // settings.query_bytes)):
             chosen = asked.where(F.pmod(F.xxhash64("_id"), F.lit(passes)) == part)
             # About settings.query_bytes: a pass sends no more than that to every task.
@@ -157,7 +169,7 @@ def neighbours(
                 known[row["_id"]] = min(known.get(row["_id"], row["_v"]), row["_v"])
             ids = np.array(sorted(known), np.int64)
             queries = spark.sparkContext.broadcast((ids, np.array([known[i] for i in ids.tolist()]), planes, share))
-            found = rows.mapInArrow(_searcher(queries, k, max(k, settings.block_bytes // (8 * size))), "query_id bigint, vec_id bigint, score double")
+            found = dealt.mapInArrow(_searcher(queries, k, block), "query_id bigint, vec_id bigint, score double")
             out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -179,9 +191,19 @@ def _searcher(broadcast, k: int, block: int):
 
         def look(rows: np.ndarray, names: np.ndarray) -> None:
             norms = np.linalg.norm(rows, axis=1)
-            forest = Forest(rows / norms[:, None], planes)
-            for q, found in enumerate(forest.candidates(codes, share * len(rows))):
-                found = found[names[found] != ids[q]]
+            # Copies count as one: a large group of them would end the ascent before other near vectors are met.
+            distinct, copy_of = np.unique(rows / norms[:, None], axis=0, return_inverse=True)
+            copy_of = copy_of.reshape(-1)
+            forest = Forest(distinct, planes)
+
+            def others(q: int, found: np.ndarray) -> np.ndarray:
+                held = np.zeros(len(distinct), bool)
+                held[found] = True
+                return np.flatnonzero(held[copy_of] & (names != ids[q]))
+
+            wanted = forest.candidates(codes, share * len(distinct), lambda q, found: len(others(q, found)) >= k)
+            for q, found in enumerate(wanted):
+                found = others(q, found)
                 if not len(found):
                     continue
                 rough = (rows[found] @ queries[q]) / (norms[found] * lengths[q])

@@ -40,6 +40,35 @@ def test_recall_ties_and_odd_rows(spark):
     assert [o for _, o, _ in sorted(got[200])] == [7, 201, 202, 203, 204]
 
 
+def recall(spark, data, settings):
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    # A partition per cluster, in order.
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 60), "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours(table, settings=settings).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {len(found) for found in got.values()} == {5} and len(got) == -(-len(data) // 50)
+    return sum(len({o for o, _ in exact(rows, rows[name])} & found) for name, found in got.items()) / (5 * len(got))
+
+
+def test_recall_on_clusters_stored_in_order(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32)) * 5
+    data = np.concatenate([c + rng.normal(size=(60, 32)) for c in centres])
+    found = recall(spark, data, ForestSettings(block_bytes=600 * 8 * 32, trees=12))
+    assert found >= 0.9, found
+
+
+def test_copies_do_not_end_the_ascent():
+    rng = np.random.default_rng(7)
+    units = rng.normal(size=(300, 8))
+    planes = Planes(8, np.zeros(8), ForestSettings(trees=3, bits=10))
+    codes = planes.codes(units)
+    few = list(Forest(units, planes).candidates(codes[:, :20], 1))
+    more = list(Forest(units, planes).candidates(codes[:, :20], 1, lambda q, found: len(found) >= 40))
+    assert all(len(m) >= 40 and set(f) <= set(m) for f, m in zip(few, more))
+
+
 def test_few_and_none(spark):
     table = spark.createDataFrame([(50, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 3.0]), (1, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
     got = [tuple(r) for r in neighbours(table).orderBy("rank").collect()]
