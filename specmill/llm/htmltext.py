@@ -2,7 +2,8 @@
 
 A page becomes a list of text blocks, each with its path of block tags from the root. Text length and punctuation are
 added up per path, smoothed along the page, fused, and compared with a threshold of the page's own spread:
-paths above it carry content. The element that holds nearly all of that content is the article.
+paths above it carry content. The element that holds nearly all of that content is the article; content and
+headings beside it belong to it too, unless an article or main element says where the article ends.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?", re.S)
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、¿¡]")
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 NAME_PARTS = re.compile(r"[^0-9a-z]+")
 
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes".split())
@@ -58,6 +60,8 @@ NOT_ARTICLE_NAMES = frozenset(
     "respond newsletter subscribe signup login share sharing social related recommended recommendations breadcrumb "
     "breadcrumbs pagination pager popup modal overlay search widget toolbar copyright footer".split()
 )
+# Such names mark other people's texts, which may be longer than the article.
+OTHER_TEXTS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
 # Site headers go, but an article may have a header of its own.
 OUTSIDE_ARTICLE_NAMES = frozenset(("header", "masthead", "topbar"))
 
@@ -71,10 +75,13 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.path, self.out, self.within = ["#root"], [-1], [0], [False], [False]
+        # Marks of an element itself: surely not the article; not the article by a part of its name; other texts by name.
+        self.hard, self.named, self.other = [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._paths: dict[tuple[int, str], int] = {}
         self._pieces: list[tuple[str, bool]] = []
         self._read(source)
+        self._resolve()
 
     def _read(self, source: str) -> None:
         stack, links, at = [0], 0, 0
@@ -130,7 +137,7 @@ class Page:
                     del stack[depth:]
                     if name != "tr":
                         break
-        above, out, names = stack[-1], False, ""
+        above, hard, named, other = stack[-1], False, False, False
         within = self.within[above] or name in ARTICLE
         if attributes:
             found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -138,24 +145,68 @@ class Page:
             parts = set(NAME_PARTS.split(names))
             style = found.get("style", "").replace(" ", "").lower()
             within = within or found.get("role") == "main"
-            out = (
-                bool(parts & NOT_ARTICLE_NAMES and name not in ("html", "body", "article", "main"))
-                or bool(parts & OUTSIDE_ARTICLE_NAMES and not within and name not in ("html", "body"))
-                or found.get("role", "").lower() in NOT_ARTICLE_ROLES
+            named = bool(parts & NOT_ARTICLE_NAMES and name not in ("html", "body", "article", "main")) or bool(
+                parts & OUTSIDE_ARTICLE_NAMES and not within and name not in ("html", "body")
+            )
+            other = named and bool(parts & OTHER_TEXTS)
+            hard = (
+                found.get("role", "").lower() in NOT_ARTICLE_ROLES
                 or "hidden" in found
                 or found.get("aria-hidden") == "true"
                 or "display:none" in style
             )
-        out = out or self.out[above] or name in NOT_ARTICLE or (name == "header" and not within)
+        hard = hard or name in NOT_ARTICLE or (name == "header" and not within)
         self.tag.append(name)
         self.parent.append(above)
         label = f"{name} {found.get('class', '')}" if attributes else name
         self.path.append(self._paths.setdefault((self.path[above], label), len(self._paths) + 1))
-        self.out.append(out)
+        self.out.append(False)
+        self.hard.append(hard)
+        self.named.append(named)
+        self.other.append(other)
         self.within.append(within)
         if name not in VOID:
             stack.append(len(self.tag) - 1)
 
+    def _resolve(self) -> None:
+        """Sets what is outside the article: all below a mark, but a mark by name goes where the main text is below it.
+
+        That is so if an article or main element below it is longer than all text without a mark, or its own text is,
+        unless the name says that it is others' or an article or main element without a mark has text.
+        """
+        own = [0] * len(self.tag)
+        for element, text, linked in self.blocks:
+            own[element] += max(0, len(text) - linked)
+        while True:
+            self.out = [False] * len(self.tag)
+            sure = [False] * len(self.tag)
+            others = [False] * len(self.tag)
+            for e in range(1, len(self.tag)):
+                above = self.parent[e]
+                sure[e] = sure[above] or self.hard[e]
+                others[e] = others[above] or (self.named[e] and self.other[e])
+                self.out[e] = self.out[above] or self.hard[e] or self.named[e]
+            if not any(self.named):
+                return
+            clear = sum(n for n, out in zip(own, self.out) if not out)
+            told = any(n and within and not out for n, within, out in zip(own, self.within, self.out))
+            # Text of an element without what is below a mark inside it.
+            text = own[:]
+            for e in range(len(self.tag) - 1, 0, -1):
+                if not (self.hard[e] or self.named[e]):
+                    text[self.parent[e]] += text[e]
+            most, longest = clear, 0
+            for e in range(1, len(self.tag)):
+                if not self.out[e] or sure[e] or text[e] <= most:
+                    continue
+                if self.tag[e] in ARTICLE or (self.named[e] and not others[e] and not told):
+                    most, longest = text[e], e
+            if not longest:
+                return
+            while longest > 0:
+                self.named[longest] = False
+                longest = self.parent[longest]
+
     def _flush(self, element: int) -> None:
         pieces, self._pieces = self._pieces, []
         if not pieces:
@@ -231,8 +282,38 @@ def main_text(source: str | None) -> str:
         chars, linked = loose[page.path[element]]
         lists_links = linked > 0.7 * chars and i not in content and page.tag[element] not in HEADINGS
         if inside[element] and not lists_links:
-            kept.append(text)
-    return " ".join(kept)
+            kept.append(i)
+    if not any(page.tag[e] == "article" for e in _line(page, at)):
+        kept = _with_rest(page, usable, content, at, kept)
+    return " ".join(page.blocks[i][1] for i in kept)
+
+
+def _line(page: Page, at: int) -> list[int]:
+    """The element and all above it."""
+    line = [at]
+    while page.parent[line[-1]] >= 0:
+        line.append(page.parent[line[-1]])
+    return line
+
+
+def _with_rest(page: Page, usable: list[int], content: set[int], at: int, kept: list[int]) -> list[int]:
+    """``kept`` and what of the article is beside the element ``at``, inside the same main element if there is one.
+
+    These are blocks of content, punctuated paragraphs that stand directly in an element around ``at``, and
+    headings that such blocks follow.
+    """
+    around, held = set(_line(page, at)[1:]), set(kept)
+    follows = False
+    for i in reversed(usable):
+        element, text, linked = page.blocks[i]
+        heading = page.tag[element] in HEADINGS
+        if i not in held and (page.within[element] or not page.within[at]):
+            beside = page.tag[element] == "p" and page.parent[element] in around
+            prose = beside and linked * 2 < len(text) and PUNCTUATION.search(text) and not COPYRIGHT.match(text)
+            if follows if heading else i in content or prose:
+                held.add(i)
+        follows = i in held or (heading and follows)
+    return sorted(held)
 
 
 def _below(page: Page, at: int) -> list[bool]:

@@ -27,6 +27,36 @@ PAGES = {
 }
 
 
+LONG = "Plain words stand here, one after the other, and they end. So do these, in turn. " * 12
+LEAD = "A lead of some words says what follows, and why. "
+LAST = "An end of some words says what was said, and goes. "
+WIDE = {
+    "beside the main element": (
+        f"<body><nav><a href=/>Home</a></nav><h1>Title</h1><p>{LEAD}</p><div>{LONG}</div><p>{LAST}</p><p>&copy; 2020 us, and all.</p></body>",
+        f"Title {LEAD}{LONG}{LAST}",
+    ),
+    "paragraphs inside": (
+        f"<body><h1>Title</h1><p>{LEAD}</p><div>" + f"<p>{LONG}</p>" * 4 + f"</div><p>{LAST}</p><div><h3>More</h3><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div></body>",
+        f"Title {LEAD}{LONG * 4}{LAST}",
+    ),
+    "name around an article": (f"<body><div class='content no-sidebar'><article><p>{LONG}</p></article></div><p>Us.</p></body>", LONG),
+    "names around names": (
+        f"<body><div class=search-page><div id=share-box><article><p>{LONG}</p></article><div class=comments><p>{LAST}</p></div></div></div></body>",
+        LONG,
+    ),
+    "name around most of the content": (f"<body><div class='post with-sidebar'><p>{LONG}</p><p>{LAST}</p></div><div class=sidebar>Other, short.</div></body>", LONG + LAST),
+    "long comments": (f"<body><div class=post><p>{LEAD * 4}</p></div><div class=comments><p>{LONG}</p></div></body>", LEAD * 4),
+    "longer than the article": (f"<body><div class=ad>{LONG}</div><article><h1>Title</h1><p>{LAST}</p></article></body>", f"Title {LAST}"),
+    "articles as comments": (f"<body><article><p>{LONG}</p></article><div class=comments><article><p>{LAST}</p></article></div></body>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_wide_page(name):
+    source, want = WIDE[name]
+    assert main_text(source) == " ".join(want.split())
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_page(name):
     source, want = PAGES[name]
