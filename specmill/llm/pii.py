@@ -17,14 +17,15 @@ DEFAULT_KEY = "set-your-own-key"
 ROUNDS = 8
 
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
-DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
-ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
-IDENTITY = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+# A separator before or after a value makes it part of something longer only where a digit stands beyond it.
+DATE = r"(?<!\d)(?<!\d[/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[/-]\d)"
+ADDRESS = r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+CARD = r"(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|-\d)"
+IDENTITY = r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d|-\d)"
 PHONE = (
     r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\d(+-])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
-    r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+    r"|(?<![\d(+])(?<!\d-)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<!\d)(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|-\d)"
 )
 SECRET = (
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -42,7 +43,7 @@ KINDS = (
 )
 ANY = "|".join(f"(?:{pattern})" for _, pattern in KINDS)
 # Every match of ANY holds one of these; a cheap look before the long pattern.
-HINT = r"[@0-9]|(?i:password|passwd|pwd|token|secret|key)"
+HINT = r"[@0-9]|AKIA|(?i:password|passwd|pwd|token|secret|key)"
 
 # Alphabets by mask letter; other mask letters keep the character.
 ALPHABETS = {
