@@ -109,10 +109,73 @@ SELECT page_id, url, array_to_string(b, ' ') AS text, CAST(length(array_to_strin
 """
 
 
+# Levels of a tree of at most 16 million leaves, and of as many trees.
+MERKLE_LEVELS = 24
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _merkle(leaves: str, prefix: str) -> str:
+    """CTEs: nodes {prefix}0.. (t, i, h) level by level, and {prefix}path (t, i, path) of the leaves' proofs, entry by entry."""
+    steps = [f"{prefix}0 AS ({leaves})"]
+    for level in range(MERKLE_LEVELS):
+        below, above = f"{prefix}{level}", f"{prefix}{level + 1}"
+        steps.append(f"""{above} AS (
+  SELECT t, i // 2 AS i, CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {below}) GROUP BY t, i // 2)""")
+    siblings = " UNION ALL ".join(
+        f"SELECT t, i, h, count(*) OVER (PARTITION BY t) AS n, {level} AS level FROM {prefix}{level}"
+        for level in range(MERKLE_LEVELS)
+    )
+    steps.append(f"{prefix}all AS ({siblings})")
+    steps.append(f"""{prefix}path AS (
+  SELECT l.t, l.i, list(CASE WHEN s.h IS NULL THEN 'N' WHEN s.i % 2 = 1 THEN 'R' || s.h ELSE 'L' || s.h END ORDER BY own.level)
+         FILTER (own.n > 1) AS path
+  FROM {prefix}0 l JOIN {prefix}all own ON own.t = l.t AND own.i = l.i >> own.level
+  LEFT JOIN {prefix}all s ON s.t = own.t AND s.level = own.level AND s.i = xor(own.i, 1) GROUP BY l.t, l.i)""")
+    return ",\n".join(steps)
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda p: ascii(k[p]))),
+       lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                                lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_COUNTED = "coalesce(strlen(CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)) || ':' || CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR), '-')"
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS t,
+         sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS leaf,
+         sha256({' || '.join(_COUNTED if c == 'n_chars' else _field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS changed,
+         CAST(doc_id AS VARCHAR) AS k
+  FROM documents),
+shown AS (
+  SELECT doc_id, t, leaf, CASE WHEN {_CRC} % 7 = 0 THEN changed ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM d),
+{_merkle("SELECT t, i, leaf AS h FROM shown", "a")},
+tops AS (SELECT t AS name, h, row_number() OVER (ORDER BY t) - 1 AS i FROM a{MERKLE_LEVELS}),
+{_merkle("SELECT '' AS t, i, h FROM tops", "b")},
+proofs AS (
+  SELECT s.doc_id, s.leaf, s.shown, tops.h AS subroot, (SELECT h FROM b{MERKLE_LEVELS}) AS root,
+         list_concat(coalesce(ap.path, []), coalesce(bp.path, [])) AS path
+  FROM shown s JOIN tops ON tops.name = s.t JOIN apath ap ON ap.t = s.t AND ap.i = s.i JOIN bpath bp ON bp.i = tops.i),
+folds AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda e: e[2:]), '')) AS proof_sha256,
+         list_reduce(list_concat([shown], path), lambda h, e:
+           CASE e[1] WHEN 'L' THEN sha256(e[2:] || h) WHEN 'R' THEN sha256(h || e[2:]) ELSE sha256(h) END) AS folded_root
+  FROM proofs)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds
+"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1,
         "op3_near_duplicates": OP3,
         "op4_html_text": OP4,
         "op5_url_filter": op5(),
+        "op11_merkle_manifest": OP11,
     }

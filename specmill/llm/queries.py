@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import ann, chat, decontaminate, htmltext, langid, mixing, neardup, pii, toxicity, urlfilter
+from specmill.llm import ann, chat, decontaminate, htmltext, langid, merkle, mixing, neardup, pii, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(table(spark, folder, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -69,4 +73,5 @@ def llm_queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_pseudonyms": op9_pseudonyms,
         "op10_chat": op10_chat,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
