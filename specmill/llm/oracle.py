@@ -91,6 +91,30 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (r) JOIN least ON least.x = d.doc_id
 """
 
+OP12 = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                              lambda i: array_to_string(w[i : i + 4], ' '))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.r < b.r GROUP BY ALL),
+near AS (
+  SELECT dx.doc_id AS x, dy.doc_id AS y FROM shared
+  JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y JOIN d dx ON dx.r = x JOIN d dy ON dy.r = y
+  WHERE 100 * m >= 80 * (nx.n + ny.n - m)),
+links AS (SELECT x, y FROM near UNION SELECT y, x FROM near),
+reach AS (
+  SELECT DISTINCT doc_id AS x, doc_id AS y FROM d
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least ON least.x = d.doc_id
+"""
+
 # The pages given have one <article> each, of headings and paragraphs.
 OP4 = r"""
 WITH inner_html AS (
@@ -178,4 +202,5 @@ def llm_oracle() -> dict[str, str]:
         "op4_html_text": OP4,
         "op5_url_filter": op5(),
         "op11_merkle_manifest": OP11,
+        "op12_jaccard_join": OP12,
     }

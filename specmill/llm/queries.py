@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmill.llm import ann, chat, decontaminate, htmltext, langid, merkle, mixing, neardup, pii, toxicity, urlfilter
+from specmill.llm import ann, chat, decontaminate, htmltext, langid, merkle, mixing, neardup, pii, setjoin, toxicity, urlfilter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,14 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.document_manifest(table(spark, folder, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -74,4 +82,6 @@ def llm_queries() -> dict[str, Query]:
         "op9_pseudonyms": op9_pseudonyms,
         "op10_chat": op10_chat,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_jaccard_join": op12_jaccard_join,
+        "op13_whitening": op13_whitening,
     }
