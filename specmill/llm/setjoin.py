@@ -1,19 +1,20 @@
 """Jaccard similarity join on word n-grams by vertical partitioning.
 
-All n-grams have one global order, rare ones first, which is cut into fragments of equal mass; a set falls into segments,
-one per fragment. Pairs that may be linked (their first n-grams in that order meet) have their overlaps counted separately in every
+All n-grams have one global order, that of their hashes, which is cut into fragments of equal ranges; a set falls into segments,
+one per fragment. Pairs that may be linked (the first n-grams of both sets meet) have their overlaps counted separately in every
 fragment, and the counts are summed per pair. A hot text or passage is never turned into all pairs of its documents: copies
 are one set, sets are compared with hubs of their n-grams first, and only pairs of sets that are still unconnected follow.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specmill.functions.spread import spread_left_join
@@ -23,33 +24,50 @@ from specmill.operators.components import connected_components
 from specmill.session import settled
 
 
-# Sets that are cut at a time.
-ROWS = 256
-
-
 @dataclass(frozen=True)
 class JoinSettings:
-    """Sets of ``words``-grams, linked from ``similarity`` hundredths on.
+    """Sets of ``words``-grams, linked from ``similarity`` hundredths on; the global order has ``2**cut_bits`` fragments.
 
-    ``fragments`` cut the global order; the order goes by the counts of ``2**order_bits`` classes of n-grams. ``sampled`` of
-    1024 n-grams (by hash, the same in all sets) tell sets without any partner. Hubs are tried ``rounds`` times at most, as long as more than
-    ``ample`` pairs per entry are left; members of one n-gram meet in tiles of ``tile``.
+    The prefix of a set is longer by a share of one ``deeper``-th of it than one common n-gram calls for: then more must be common.
+    Hubs are tried ``rounds`` times at most, as long as more than ``ample`` pairs per entry are left; members of one n-gram
+    meet in tiles of ``tile``; a hub's pairs are dealt over ``lanes``.
     """
 
     words: int = 5
     similarity: int = 80
-    fragments: int = 8
-    order_bits: int = 20
-    sampled: int = 300
-    rounds: int = 4
+    cut_bits: int = 3
+    deeper: int = 20
+    rounds: int = 1
     ample: int = 4
     tile: int = 512
     lanes: int = 8
 
+    def most_missing(self, n):
+        """What any partner of a set of ``n`` may lack of it, at most."""
+        return n * (100 - self.similarity) // 100
+
+    def extra(self, n):
+        """How many n-grams the prefixes of two sets of ``n`` share at least, if they are linked and of equal size."""
+        return max(1, n // self.deeper)
+
+    def prefix(self, n):
+        return min(n, self.most_missing(n) + self.extra(n))
+
+
+def whole(quotient: Column) -> Column:
+    return F.floor(quotient).cast("bigint")
+
 
-def least_overlap(n: Column, settings: JoinSettings) -> Column:
-    """What a set of ``n`` has in common with any partner, at least."""
-    return F.ceil(n * settings.similarity / F.lit(100.0))
+def extra(n: Column, settings: JoinSettings) -> Column:
+    return F.greatest(F.lit(1).cast("bigint"), whole(n / settings.deeper))
+
+
+def needed(n: Column, settings: JoinSettings) -> Column:
+    """How many n-grams of its prefix a set of ``n`` shares with that of any partner, at least.
+
+    Two linked sets share ``extra`` of the smaller one, which has ``similarity`` hundredths of the larger at least.
+    """
+    return extra(F.ceil(n * settings.similarity / F.lit(100)).cast("bigint"), settings)
 
 
 def reaches(shared: Column, n_x: Column, n_y: Column, settings: JoinSettings) -> Column:
@@ -57,165 +75,147 @@ def reaches(shared: Column, n_x: Column, n_y: Column, settings: JoinSettings) ->
     return shared * (100 + settings.similarity) >= (n_x + n_y) * settings.similarity
 
 
+def gram_set(data: bytes | None, settings: JoinSettings, known: WordHashes) -> np.ndarray:
+    """The n-grams of a text in the global order."""
+    return np.sort(shingle_set(data, settings.words, known).view(np.int64))
+
+
+# 64-bit words of a set's parities.
+WORDS = 16
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bit per class of n-grams: whether the set holds an odd number of them.
+
+    Bits in which two sets differ are at most as many as n-grams that only one of them holds.
+    """
+    odd = np.bincount(found & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(bits_x: str, bits_y: str) -> Column:
+    """In how many parities two sets differ."""
+    return sum(F.bit_count(F.col(bits_x)[i].bitwiseXOR(F.col(bits_y)[i])) for i in range(WORDS)).cast("bigint")
+
+
+def name_of(found: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
+
+
 def marked_sets(docs: DataFrame, key: str, text: str, settings: JoinSettings) -> DataFrame:
-    """(_key, _n, _sid, _some) per row: size of the set, its 64-bit name (null if empty), its sampled n-grams."""
+    """(_key, _n, _sid, _first, _bits) per row: size of the set, its 64-bit name (null if empty), its prefix, its parities."""
     kind = docs.schema[key].dataType.simpleString()
 
     def mark(batches):
         known = WordHashes()
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                sizes, names, some = [], [], []
-                for data in as_bytes(batch.column("_text")):
-                    found = shingle_set(data, settings.words, known)
-                    sizes.append(len(found))
-                    names.append(name_of(found) if len(found) else None)
-                    some.append(found[(found & np.uint64(1023)) < settings.sampled].view(np.int64))
+        for rows in batches:
+            for batch in slices(rows, "_text"):
+                sets = [gram_set(data, settings, known) for data in as_bytes(batch.column("_text"))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_key"),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(names, pa.int64()),
-                        pa.array(some, pa.list_(pa.int64())),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([s[: settings.prefix(len(s))] for s in sets], pa.list_(pa.int64())),
+                        pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["_key", "_n", "_sid", "_some"],
+                    names=["_key", "_n", "_sid", "_first", "_bits"],
                 )
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(mark, f"_key {kind}, _n bigint, _sid bigint, _some array<bigint>")
+    return rows.mapInArrow(mark, f"_key {kind}, _n bigint, _sid bigint, _first array<bigint>, _bits array<bigint>")
 
 
-def name_of(found: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
+def gram_facts(usable: DataFrame) -> DataFrame:
+    """(_gram, _held) of n-grams that several prefixes hold, and by how many rows; (_sid, _alone) of sets with others, counted."""
+    spread = usable.select("_sid", F.explode("_first").alias("_gram"))
+    held = spread.groupBy("_gram").agg(F.min("_sid").alias("_sid"), F.max("_sid").alias("_b"), F.count("*").alias("_held"))
+    shared = held.where(F.col("_sid") != F.col("_b")).select("_gram", "_held")
+    alone = held.where(F.col("_sid") == F.col("_b")).groupBy("_sid").agg(F.count("*").alias("_alone"))
+    return shared.unionByName(alone, allowMissingColumns=True)
 
 
-def with_partners(marks: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(_sid, _n, _rep, _lonely) of the sets that may have a partner.
+def prefix_entries(usable: DataFrame, facts: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(_gram, _sid, _n, _open): what the sets that may have a partner hold of shared n-grams, common ones left out.
 
-    A linked set misses ``n - least_overlap`` of its n-grams at most in its partner, so a set with more sampled n-grams that no
-    other set holds has none. ``_lonely`` is the share of such n-grams.
+    Of a prefix of p n-grams ``needed`` are common with any partner's. A set with fewer shared ones has no partner, and of
+    the shared ones, rare ones first, all but the last ``needed - 1`` are enough to meet every partner. ``_open`` is the share of
+    the prefix that no other set holds.
     """
-    spread = marks.where(F.col("_sid").isNotNull()).select("_sid", F.explode("_some").alias("_gram"))
-    holders = spread.groupBy("_gram").agg(F.min("_sid").alias("_sid"), F.max("_sid").alias("_other"))
-    alone = holders.where(F.col("_sid") == F.col("_other")).groupBy("_sid").agg(F.count("*").alias("_alone"))
-    sets = marks.where(F.col("_sid").isNotNull()).groupBy("_sid").agg(F.min("_key").alias("_rep"), F.first("_n").alias("_n"))
-    judged = sets.join(alone, "_sid", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0)))
-    kept = judged.where(F.col("_alone") <= F.col("_n") - least_overlap(F.col("_n"), settings))
-    return kept.select("_sid", "_n", "_rep", (F.col("_alone") / F.col("_n")).alias("_lonely"))
+    alone = facts.where(F.col("_sid").isNotNull()).select("_sid", "_alone")
+    sets = usable.select("_sid", "_n", "_first").join(alone, "_sid", "left")
+    sets = sets.withColumn("_count", F.size("_first") - F.coalesce("_alone", F.lit(0)))
+    sets = sets.where(F.col("_count") >= needed(F.col("_n"), settings)).dropDuplicates(["_sid"])
+    spread = sets.select("_sid", "_n", "_count", F.size("_first").alias("_p"), F.explode("_first").alias("_gram"))
+    found = spread.join(facts.where(F.col("_gram").isNotNull()).select("_gram", "_held"), "_gram")
+    rank = F.row_number().over(Window.partitionBy("_sid").orderBy("_held", "_gram"))
+    placed = found.withColumn("_rank", rank)
+    return placed.where(F.col("_rank") <= F.col("_count") - needed(F.col("_n"), settings) + 1).select(
+        "_gram", "_sid", "_n", (1 - F.col("_count") / F.col("_p")).alias("_open")
+    )
 
 
-def full_sets(docs: DataFrame, sets: DataFrame, key: str, text: str, settings: JoinSettings) -> DataFrame:
-    """(_sid, _n, _grams) of ``sets``, made again from the text of the document that each is named after."""
+def segments_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, settings: JoinSettings) -> DataFrame:
+    """(_sid, _n, _f, _s): the segments of the sets ``wanted`` (_sid, _rep), from the texts of the documents _rep."""
+    edges = np.arange(-(1 << settings.cut_bits - 1), (1 << settings.cut_bits - 1) + 1) << (64 - settings.cut_bits)
 
     def make(batches):
         known = WordHashes()
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                found = [shingle_set(data, settings.words, known) for data in as_bytes(batch.column("_text"))]
-                found = [f for f in found if len(f)]
+        for rows in batches:
+            for batch in slices(rows, "_text"):
+                out = [[], [], [], []]
+                for data in as_bytes(batch.column("_text")):
+                    found = gram_set(data, settings, known)
+                    ends = [0, *np.searchsorted(found, edges[1:-1]), len(found)]
+                    for f, (a, b) in enumerate(zip(ends, ends[1:])):
+                        if b > a:
+                            for column, value in zip(out, (name_of(found), len(found), f, found[a:b])):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name_of(f) for f in found], pa.int64()),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
+                        pa.array(out[0], pa.int64()),
+                        pa.array(out[1], pa.int64()),
+                        pa.array(out[2], pa.int32()),
+                        pa.array(out[3], pa.list_(pa.int64())),
                     ],
-                    names=["_sid", "_n", "_grams"],
+                    names=["_sid", "_n", "_f", "_s"],
                 )
 
     rows = docs.select(F.col(key).alias("_rep"), F.col(text).alias("_text"))
-    texts = rows.join(sets.select("_rep").distinct(), "_rep", "left_semi")
-    made = texts.mapInArrow(make, "_sid bigint, _n bigint, _grams array<bigint>")
-    # A document may come with several texts: those whose sets have no partner go here.
-    return made.join(sets.select("_sid"), "_sid", "left_semi").dropDuplicates(["_sid"])
-
-
-@dataclass(frozen=True)
-class GramOrder:
-    """The global order: n-grams go by the rank of their class, then by themselves. ``cuts`` are ranks where fragments begin."""
-
-    ranks: np.ndarray
-    cuts: np.ndarray
-
-    def sorted(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams in order, and their fragments."""
-        ranks = self.ranks[grams.view(np.uint64) >> np.uint64(64 - len(self.ranks).bit_length() + 1)]
-        by = np.lexsort((grams, ranks))
-        return grams[by], np.searchsorted(self.cuts, ranks[by], side="right")
-
-
-def gram_order(sets: DataFrame, settings: JoinSettings) -> GramOrder:
-    """Classes ranked by how many n-grams of ``sets`` they hold, cut into fragments of about equal mass.
-
-    The counts cover all sets; the driver sees ``2**order_bits`` of them at most.
-    """
-    size, shift = 1 << settings.order_bits, 64 - settings.order_bits
-    classes = sets.select(F.explode("_grams").alias("_gram")).select(
-        F.shiftrightunsigned("_gram", shift).alias("_class")
-    )
-    counts = np.zeros(size, np.int64)
-    found = classes.groupBy("_class").agg(F.count("*").alias("_count")).toArrow()
-    counts[found.column("_class").to_numpy()] = found.column("_count").to_numpy()
-    order = np.argsort(counts, kind="stable")
-    ranks = np.empty(size, np.int32)
-    ranks[order] = np.arange(size, dtype=np.int32)
-    mass = np.cumsum(counts[order])
-    parts = mass[-1] * np.arange(1, settings.fragments) / settings.fragments
-    return GramOrder(ranks, np.searchsorted(mass, parts, side="left").astype(np.int32) + 1)
+    texts = rows.join(wanted.select("_rep").distinct(), "_rep", "left_semi")
+    made = texts.mapInArrow(make, "_sid bigint, _n bigint, _f int, _s array<bigint>")
+    # A document may come several times, or with other texts that have no partner.
+    return made.join(wanted.select("_sid"), "_sid", "left_semi").dropDuplicates(["_sid", "_f"])
 
 
-def cut_sets(sets: DataFrame, order: GramOrder, settings: JoinSettings) -> DataFrame:
-    """(_sid, _n, _first, _segments): the n-grams of the prefix, and all of them by fragment.
+def may_reach(n_x: Column, n_y: Column, bits_x: str, bits_y: str, settings: JoinSettings) -> Column:
+    """Whether sizes and parities leave two sets a chance; true for every linked pair."""
+    shared = (n_x + n_y - apart(bits_x, bits_y)) / 2
+    return alike_in_size(n_x, n_y, settings) & reaches(shared, n_x, n_y, settings)
 
-    Two linked sets share an n-gram of their first ``n - least_overlap + 1`` in the global order.
-    """
-    held = sets.sparkSession.sparkContext.broadcast(order)
-
-    def cut(batches):
-        order = held.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                first, segments = [], []
-                for n, grams in zip(batch.column("_n").to_pylist(), batch.column("_grams")):
-                    grams, fragments = order.sorted(grams.values.to_numpy(zero_copy_only=False))
-                    first.append(grams[: n - -(-n * settings.similarity // 100) + 1])
-                    ends = np.searchsorted(fragments, np.arange(settings.fragments + 1))
-                    segments.append([grams[a:b] for a, b in zip(ends, ends[1:])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_sid"),
-                        batch.column("_n"),
-                        pa.array(first, pa.list_(pa.int64())),
-                        pa.array(segments, pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["_sid", "_n", "_first", "_segments"],
-                )
 
-    return sets.select("_sid", "_n", "_grams").mapInArrow(
-        cut, "_sid bigint, _n bigint, _first array<bigint>, _segments array<array<bigint>>"
+def likely(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The ``pairs`` (x, y) that sizes and parities leave."""
+    wide = pairs.join(sets.withColumnsRenamed({"_sid": "x", "_n": "_nx", "_bits": "_bx"}), "x").join(
+        sets.withColumnsRenamed({"_sid": "y", "_n": "_ny", "_bits": "_by"}), "y"
     )
+    return wide.where(may_reach(F.col("_nx"), F.col("_ny"), "_bx", "_by", settings)).select("x", "y")
 
 
-def linked(pairs: DataFrame, cuts: DataFrame, settings: JoinSettings) -> DataFrame:
+def linked(pairs: DataFrame, segments: DataFrame, settings: JoinSettings) -> DataFrame:
     """The ``pairs`` (x, y) that are linked: partial overlaps per fragment, summed per pair.
 
     Segments of x travel to those of y; a y of many pairs has lanes, so its fragments spread over many tasks.
     """
-    segments = cuts.select("_sid", "_n", F.posexplode("_segments").alias("_f", "_s")).where(F.size("_s") > 0)
-    lane = F.pmod(F.xxhash64("x"), F.lit(settings.lanes))
-    laned = pairs.withColumn("_lane", lane)
-    left = laned.join(segments.withColumnsRenamed({"_sid": "x", "_s": "_sx"}).drop("_n"), "x")
+    laned = pairs.withColumn("_lane", F.pmod(F.xxhash64("x"), F.lit(settings.lanes)))
+    left = laned.join(segments.withColumnsRenamed({"_sid": "x", "_n": "_nx", "_s": "_sx"}), "x")
     right = laned.select("y", "_lane").distinct().join(
-        segments.withColumnsRenamed({"_sid": "y", "_s": "_sy"}).drop("_n"), "y"
+        segments.withColumnsRenamed({"_sid": "y", "_n": "_ny", "_s": "_sy"}), "y"
     )
     met = left.join(right, ["y", "_lane", "_f"])
-    counted = met.select("x", "y", F.size(F.array_intersect("_sx", "_sy")).cast("bigint").alias("_partial"))
-    overlaps = counted.groupBy("x", "y").agg(F.sum("_partial").alias("_shared"))
-    sizes = cuts.select("_sid", "_n")
-    sized = overlaps.join(sizes.withColumnsRenamed({"_sid": "x", "_n": "_nx"}), "x").join(
-        sizes.withColumnsRenamed({"_sid": "y", "_n": "_ny"}), "y"
-    )
-    return sized.where(reaches(F.col("_shared"), F.col("_nx"), F.col("_ny"), settings)).select("x", "y")
+    partial = F.size(F.array_intersect("_sx", "_sy")).cast("bigint")
+    overlaps = met.groupBy("x", "y", "_nx", "_ny").agg(F.sum(partial).alias("_shared"))
+    return overlaps.where(reaches(F.col("_shared"), F.col("_nx"), F.col("_ny"), settings)).select("x", "y")
 
 
 def alike_in_size(n_x: Column, n_y: Column, settings: JoinSettings) -> Column:
@@ -256,24 +256,22 @@ def pairs_left(entries: DataFrame) -> int:
     return int(grams.agg(F.sum((F.col("_s") * F.col("_s") - F.col("_q")) / 2)).first()[0] or 0)
 
 
-def rest_pairs(entries: DataFrame, settings: JoinSettings) -> DataFrame:
-    """All pairs of different components that share an n-gram of both prefixes and may still reach the limit.
+def rest_pairs(entries: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The pairs of different components that share an n-gram of both prefixes, and that sizes and parities leave.
 
-    At the first n-gram that two sets share, their overlap is at most one more than the shorter rest. The members of an n-gram
-    meet tile by tile, so a common one is many small joins.
+    The members of an n-gram meet tile by tile, so a common one is many small joins; other pairs end inside the join.
     """
     tiles = F.ceil(F.col("_members") / F.lit(settings.tile)).cast("int")
-    own = entries.withColumn("_tiles", tiles).withColumn("_t", F.pmod(F.xxhash64("_sid"), F.col("_tiles")).cast("int"))
-    columns = ["_gram", "_sid", "_n", "_at", "_comp"]
+    own = entries.join(sets.select("_sid", "_bits"), "_sid").withColumn("_tiles", tiles)
+    own = own.withColumn("_t", F.pmod(F.xxhash64("_sid"), F.col("_tiles")).cast("int"))
+    columns = ["_gram", "_sid", "_n", "_comp", "_bits"]
     a = own.select(*columns, F.col("_t").alias("_i"), F.explode(F.sequence(F.col("_t"), F.col("_tiles") - 1)).alias("_j"))
     b = own.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_i"), F.col("_t").alias("_j"))
-    b = b.withColumnsRenamed({"_sid": "_sid2", "_n": "_n2", "_at": "_at2", "_comp": "_comp2"})
-    best = F.least(F.col("_n") - F.col("_at"), F.col("_n2") - F.col("_at2"))
+    b = b.withColumnsRenamed({c: f"{c}2" for c in columns[1:]})
     met = a.join(b, ["_gram", "_i", "_j"]).where(
         (F.col("_comp") != F.col("_comp2"))
         & ((F.col("_i") != F.col("_j")) | (F.col("_sid") < F.col("_sid2")))
-        & alike_in_size(F.col("_n"), F.col("_n2"), settings)
-        & reaches(best, F.col("_n"), F.col("_n2"), settings)
+        & may_reach(F.col("_n"), F.col("_n2"), "_bits", "_bits2", settings)
     )
     return met.select(F.least("_sid", "_sid2").alias("x"), F.greatest("_sid", "_sid2").alias("y")).distinct()
 
@@ -282,34 +280,54 @@ def edges_of(links: DataFrame) -> DataFrame:
     return links.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+@contextmanager
+def bloom_filters(spark: SparkSession):
+    """Spark's own runtime filters, for joins that keep few rows of a table below the size from which Spark makes them."""
+    setting = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def set_components(docs: DataFrame, marks: DataFrame, key: str, text: str, settings: JoinSettings) -> DataFrame:
     """(_sid, _component): the least key of the sets that links reach, for sets that reach another one."""
-    sets = settled(with_partners(marks, settings), "setjoin-partners")
-    full = settled(full_sets(docs, sets, key, text, settings), "setjoin-full")
-    cuts = settled(cut_sets(full, gram_order(full, settings), settings), "setjoin-cuts")
-    entries = cuts.select("_sid", "_n", F.posexplode("_first").alias("_at", "_gram"))
-    entries = entries.join(sets.select("_sid", "_lonely"), "_sid")
+    usable = marks.where(F.col("_sid").isNotNull())
+    facts = settled(gram_facts(usable), "setjoin-facts")
+    entries = settled(prefix_entries(usable, facts, settings), "setjoin-prefixes")
     entries = settled(open_entries(entries, None).drop("_comp"), "setjoin-entries")
+    sets = usable.join(entries.select("_sid").distinct(), "_sid", "left_semi")
+    sets = sets.groupBy("_sid").agg(F.min("_key").alias("_rep"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"))
+    sets = settled(sets, "setjoin-sets")
+    with bloom_filters(docs.sparkSession):
+        segments = settled(segments_of(docs, sets.where("_n > 0"), key, text, settings), "setjoin-segments")
+    sets = sets.drop("_rep")
     total = entries.count()
     # Documents that come with several texts connect the sets of these.
-    several = marks.where(F.col("_sid").isNotNull()).groupBy("_key").agg(F.min("_sid").alias("y"), F.max("_sid").alias("_high"))
+    several = usable.groupBy("_key").agg(F.min("_sid").alias("y"), F.max("_sid").alias("_high"))
     several = several.where(F.col("y") != F.col("_high")).select("_key", "y")
-    links = marks.join(several, "_key").where(F.col("_sid") != F.col("y")).select(F.col("_sid").alias("x"), "y").distinct()
+    links = usable.join(several, "_key").where(F.col("_sid") != F.col("y")).select(F.col("_sid").alias("x"), "y").distinct()
     links, labels = settled(links, "setjoin-links"), None
     for turn in range(settings.rounds + 1):
         if turn:
             labels = connected_components(edges_of(links))
         left = settled(open_entries(entries.drop("_members"), labels), "setjoin-open")
         # The set with most n-grams of others is likely the text that the others were made from; later on, any may do.
-        score = -F.col("_lonely") if turn == 0 else (F.xxhash64("_sid", F.lit(turn)) % 1000).cast("double")
+        score = -F.col("_open") if turn == 0 else (F.xxhash64("_sid", F.lit(turn)) % 1000).cast("double")
         last = turn == settings.rounds or pairs_left(left) <= settings.ample * total
-        pairs = settled(rest_pairs(left, settings) if last else star_pairs(left, score, settings), "setjoin-pairs")
-        links = settled(links.union(linked(pairs, cuts, settings)), "setjoin-links")
+        if last:
+            pairs = rest_pairs(left, sets, settings)
+        else:
+            pairs = likely(star_pairs(left, score, settings), sets, settings)
+        pairs = settled(pairs, "setjoin-pairs")
+        links = settled(links.union(linked(pairs, segments, settings)), "setjoin-links")
         if last:
             break
     labels = connected_components(edges_of(links)).select(F.col("node").alias("_sid"), "component")
-    reps = marks.where(F.col("_sid").isNotNull()).select("_sid", "_key").join(labels, "_sid")
-    least = reps.groupBy("component").agg(F.min("_key").alias("_component"))
+    keys = usable.select("_sid", "_key").join(labels, "_sid")
+    least = keys.groupBy("component").agg(F.min("_key").alias("_component"))
     return labels.join(least, "component").select("_sid", "_component")
 
 
