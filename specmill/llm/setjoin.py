@@ -135,17 +135,25 @@ def gram_facts(usable: DataFrame) -> DataFrame:
     return shared.unionByName(alone, allowMissingColumns=True)
 
 
-def prefix_entries(usable: DataFrame, facts: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(_gram, _sid, _n, _open): what the sets that may have a partner hold of shared n-grams, common ones left out.
+def with_partners(sets: DataFrame, usable: DataFrame, facts: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(_sid, _n, _rep, _count, _first, _bits) of the ``sets`` that may have a partner.
 
-    Of a prefix of p n-grams ``needed`` are common with any partner's. A set with fewer shared ones has no partner, and of
-    the shared ones, rare ones first, all but the last ``needed - 1`` are enough to meet every partner. ``_open`` is the share of
-    the prefix that no other set holds.
+    Of a prefix ``needed`` n-grams are common with any partner's: a set with fewer shared ones has none. Prefixes come from the
+    one row that each set is read from, so no join meets all copies of a text.
     """
     alone = facts.where(F.col("_sid").isNotNull()).select("_sid", "_alone")
-    sets = usable.select("_sid", "_n", "_first").join(alone, "_sid", "left")
-    sets = sets.withColumn("_count", F.size("_first") - F.coalesce("_alone", F.lit(0)))
-    sets = sets.where(F.col("_count") >= needed(F.col("_n"), settings)).dropDuplicates(["_sid"])
+    judged = sets.join(alone, "_sid", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0)))
+    kept = judged.where(F.col("_p") - F.col("_alone") >= needed(F.col("_n"), settings))
+    kept = kept.select("_sid", "_n", "_rep", "_row", (F.col("_p") - F.col("_alone")).alias("_count"))
+    return kept.join(usable.select("_row", "_first", "_bits"), "_row").drop("_row")
+
+
+def prefix_entries(sets: DataFrame, facts: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(_gram, _sid, _n, _open): what the sets that may have a partner hold of shared n-grams, common ones left out.
+
+    Of the ``_count`` shared n-grams of a prefix, rare ones first, all but the last ``needed - 1`` are enough to meet every partner.
+    ``_open`` is the share of the prefix that no other set holds.
+    """
     spread = sets.select("_sid", "_n", "_count", F.size("_first").alias("_p"), F.explode("_first").alias("_gram"))
     found = spread.join(facts.where(F.col("_gram").isNotNull()).select("_gram", "_held"), "_gram")
     rank = F.row_number().over(Window.partitionBy("_sid").orderBy("_held", "_gram"))
@@ -292,15 +300,20 @@ def bloom_filters(spark: SparkSession):
         spark.conf.set(setting, before)
 
 
-def set_components(docs: DataFrame, marks: DataFrame, key: str, text: str, settings: JoinSettings) -> DataFrame:
-    """(_sid, _component): the least key of the sets that links reach, for sets that reach another one."""
+def set_components(
+    docs: DataFrame, marks: DataFrame, named: DataFrame, key: str, text: str, settings: JoinSettings
+) -> DataFrame:
+    """(_sid, _component): the least key of the sets that links reach, for sets that reach another one.
+
+    ``named`` has a row per set: its size, the size of its prefix, its least key and one of its rows.
+    """
     usable = marks.where(F.col("_sid").isNotNull())
     facts = settled(gram_facts(usable), "setjoin-facts")
-    entries = settled(prefix_entries(usable, facts, settings), "setjoin-prefixes")
+    sets = settled(with_partners(named, usable, facts, settings), "setjoin-partners")
+    entries = settled(prefix_entries(sets, facts, settings), "setjoin-prefixes")
     entries = settled(open_entries(entries, None).drop("_comp"), "setjoin-entries")
-    sets = usable.join(entries.select("_sid").distinct(), "_sid", "left_semi")
-    sets = sets.groupBy("_sid").agg(F.min("_key").alias("_rep"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"))
-    sets = settled(sets, "setjoin-sets")
+    sets = sets.select("_sid", "_n", "_rep", "_bits").join(entries.select("_sid").distinct(), "_sid", "left_semi")
+    sets = settled(sets, "setjoin-candidates")
     with bloom_filters(docs.sparkSession):
         segments = settled(segments_of(docs, sets.where("_n > 0"), key, text, settings), "setjoin-segments")
     sets = sets.drop("_rep")
@@ -326,8 +339,7 @@ def set_components(docs: DataFrame, marks: DataFrame, key: str, text: str, setti
         if last:
             break
     labels = connected_components(edges_of(links)).select(F.col("node").alias("_sid"), "component")
-    keys = usable.select("_sid", "_key").join(labels, "_sid")
-    least = keys.groupBy("component").agg(F.min("_key").alias("_component"))
+    least = named.join(labels, "_sid").groupBy("component").agg(F.min("_rep").alias("_component"))
     return labels.join(least, "component").select("_sid", "_component")
 
 
@@ -343,9 +355,13 @@ def jaccard_components(
     """
     every = settled(marked_sets(docs, key, text, settings).withColumn("_row", F.monotonically_increasing_id()), "setjoin-sets")
     marks = every.withColumn("_sid", F.when(F.col("_key").isNotNull(), F.col("_sid")))
-    found = set_components(docs, marks, key, text, settings)
-    first = marks.where(F.col("_sid").isNotNull()).groupBy("_sid").agg(F.min("_key").alias("_rep"))
-    named = settled(first.join(found, "_sid", "left"), "setjoin-named")
+    sets = marks.where(F.col("_sid").isNotNull()).groupBy("_sid")
+    sized = sets.agg(
+        F.min("_key").alias("_rep"), F.min("_row").alias("_row"), F.first("_n").alias("_n"), F.first(F.size("_first")).alias("_p")
+    )
+    named = settled(sized, "setjoin-named")
+    found = set_components(docs, marks, named, key, text, settings)
+    named = settled(named.select("_sid", "_rep").join(found, "_sid", "left"), "setjoin-components")
     rows = marks.select("_key", "_n", "_sid", "_row")
     labelled = spread_left_join(rows, named, "_sid", F.col("_row"))
     return labelled.select(
