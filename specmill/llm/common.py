@@ -73,6 +73,20 @@ def perhaps_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER
     return marked.where(byte.bitwiseAND(place) != 0).select(*rows.columns)
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(_packed, _text): ``text``, and all other columns in one struct, so that no name of theirs meets an operator's own."""
+    others = [c for c in docs.columns if c != text]
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(None).cast("int").alias("c0")]
+    return docs.select(F.struct(*fields).alias("_packed"), F.col(f"`{text}`").alias("_text"))
+
+
+def unpacked(columns: list[str], text: str, new: Column | None = None) -> list[Column]:
+    """The ``columns`` that went into ``packed``, with ``new`` for the text."""
+    others = [c for c in columns if c != text]
+    own = F.col("_text") if new is None else new
+    return [own.alias(c) if c == text else F.col(f"_packed.c{others.index(c)}").alias(c) for c in columns]
+
+
 def share_of(rows: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
     """About ``wanted`` of the ``total`` rows, chosen by a hash of ``key``; all of them where there are fewer."""
     if total <= wanted:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmill.llm.common import as_bytes, plain_words, slices
+from specmill.llm.common import as_bytes, packed, plain_words, slices, unpacked
 from specmill.session import settled
 
 # Words of items in one automaton. Larger benchmarks are cut into several, used one after the other.
@@ -278,26 +278,26 @@ def contaminated(share: int):
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = 20, cut: bool = False, **options
 ) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns.
+    """The rows of ``docs`` that are not contaminated, with their columns, whatever their names.
 
     With ``cut``, spans below the coverage limit are cut out of the texts that stay, from their first
-    word to their last; without it those texts stay as they are.
+    word to their last; without it those texts stay as they are. Null and empty texts have no words and stay; repeated rows
+    are judged alike; without items every row stays; an empty table gives no rows.
     """
-    kept = docs.columns
-    clean = hits(docs, benchmark, text=text, **options).where(~contaminated(share))
-    if not cut:
-        return clean.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def trim(batches):
-        for whole in batches:
-            for batch in slices(whole, text):
-                spans = batch.column("_spans").to_pylist()
-                texts = [without_spans(t, s) for t, s in zip(batch.column(text).to_pylist(), spans)]
-                columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays(columns, names=kept)
-
-    return clean.select(*kept, "_spans").mapInArrow(trim, schema)
+    rows = packed(docs, text)
+    clean = hits(rows, benchmark, text="_text", **options).where(~contaminated(share))
+    if cut:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+        def trim(batches):
+            for whole in batches:
+                for batch in slices(whole, "_text"):
+                    spans = batch.column("_spans").to_pylist()
+                    texts = [without_spans(t, s) for t, s in zip(batch.column("_text").to_pylist(), spans)]
+                    yield pa.RecordBatch.from_arrays([batch.column("_packed"), pa.array(texts, pa.string())], names=["_packed", "_text"])
+
+        clean = clean.select("_packed", "_text", "_spans").mapInArrow(trim, schema)
+    return clean.select(*unpacked(docs.columns, text))
 
 
 def without_spans(text: str | None, spans: list[int]) -> str | None:

@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmill.functions.once import evaluated_once
+from specmill.llm.common import packed, unpacked
 
 DEFAULT_KEY = "set-your-own-key"
 ROUNDS = 8
+# Characters of a long value that are permuted together.
+BLOCK = 64
 
-MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+# A domain has 127 labels at most; Java's matcher takes some stack for each of them.
+MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}(?<=\.[A-Za-z]{2,24})"
 # A separator before or after a value makes it part of something longer only where a digit stands beyond it.
 DATE = r"(?<!\d)(?<!\d[/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[/-]\d)"
 ADDRESS = r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -55,8 +59,6 @@ ALPHABETS = {
 }
 
 
-
-
 def _text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -79,6 +81,23 @@ def _shifted(text: str, mask: str, digest: str) -> str:
 
 
 def characters(value: str, mask: str, key: str) -> str:
+    """Values of any length in blocks, each of them permuted under its place and the block before it, as that was.
+
+    From the first block on every block can be undone, so the whole is one to one; work grows with the length. A value
+    of one block depends on its own characters only.
+    """
+
+    def cut(text: str) -> str:
+        return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+
+    tweak = f"if(n = 0, '', concat_ws('|', n, length({value}), get(w.b, n - 1)))"
+    moved = _network("z.b", "z.m", "z.t", key)
+    blocks = f"transform(w.b, (b, n) -> named_struct('b', b, 'm', get(w.m, n), 't', {tweak}))"
+    whole = f"array(named_struct('b', {cut(value)}, 'm', {cut(mask)}))"
+    return f"get(transform({whole}, w -> array_join(transform({blocks}, z -> {moved}), '')), 0)"
+
+
+def _network(value: str, mask: str, tweak: str, key: str) -> str:
     """A Feistel network over the two halves of a string.
 
     In turn, each half is shifted by amounts hashed from the other, which can be undone whatever the hash:
@@ -88,7 +107,7 @@ def characters(value: str, mask: str, key: str) -> str:
     left = _shifted("s.l", f"substr({mask}, 1, {half})", "s.g")
     right = _shifted("s.r", f"substr({mask}, {half} + 1)", "s.g")
     # A round is two steps: the first hashes one half, the second shifts the other by that digest.
-    keyed = _digest(key, "'text'", f"length({value})", "j div 2", "if(j % 4 = 0, s.r, s.l)")
+    keyed = _digest(key, "'text'", f"concat(length({value}), {tweak})", "j div 2", "if(j % 4 = 0, s.r, s.l)")
     start = f"named_struct('l', substr({value}, 1, {half}), 'r', substr({value}, {half} + 1), 'g', '')"
     return (
         f"aggregate(sequence(0, {2 * ROUNDS - 1}), {start}, (s, j) -> CASE "
@@ -238,26 +257,26 @@ def pseudonymised(
     looks alike, and every other character, stays as it is. Numbers link whatever their separators are.
 
     A null text stays null with counts of 0, an empty one empty; repeated rows get the same result; an empty table
-    gives no rows. Other columns are handed on; input columns named like a count are replaced.
+    gives no rows. Other columns are handed on, whatever their names; with ``counts``, input columns named like a count are
+    replaced.
     """
     kinds = [k for k, _ in KINDS]
     kept = [c for c in docs.columns if not counts or c not in {f"n_{k}" for k in kinds}]
-    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = evaluated_once(docs, kept, {"_matches": found})
-    rows = rows.select(*kept, F.expr(f"transform(_matches, m -> named_struct('m', m, 'kind', {_kind()}))").alias("_kinds"))
-    rows = rows.select(*kept, "_kinds", F.expr(_parts()).alias("_parts"))
-    rows = rows.select(*kept, "_kinds", F.expr(_moved(key)).alias("_moved"))
+    held = ["_packed", "_text"]
+    found = F.when(F.col("_text").rlike(HINT), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
+    rows = evaluated_once(packed(docs.select(*[f"`{c}`" for c in kept]), text), held, {"_matches": found.otherwise(F.array().cast("array<string>"))})
+    rows = rows.select(*held, F.expr(f"transform(_matches, m -> named_struct('m', m, 'kind', {_kind()}))").alias("_kinds"))
+    rows = rows.select(*held, "_kinds", F.expr(_parts()).alias("_parts"))
+    rows = rows.select(*held, "_kinds", F.expr(_moved(key)).alias("_moved"))
     rows = evaluated_once(
         rows,
-        kept,
+        held,
         {"_new": F.expr(_written()), **{f"n_{k}": F.expr(f"cast(size(filter(_kinds, k -> k.kind = '{k}')) AS bigint)") for k in kinds}},
     )
-    pieces = F.split(F.col(text), ANY, -1)
+    pieces = F.split(F.col("_text"), ANY, -1)
     woven = F.array_join(
         F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get("_new", i), F.lit("")))),
         "",
     )
-    new = F.when(F.size("_new") > 0, woven).otherwise(F.col(text))
-    return rows.select(
-        *[new.alias(c) if c == text else F.col(c) for c in kept], *([f"n_{k}" for k in kinds] if counts else [])
-    )
+    new = F.when(F.size("_new") > 0, woven).otherwise(F.col("_text"))
+    return rows.select(*unpacked(kept, text, new), *([f"n_{k}" for k in kinds] if counts else []))

@@ -1,6 +1,7 @@
 import random
 import re
 from datetime import date
+from hashlib import sha256
 
 from specmill.llm.pii import HINT, KINDS, pseudonymised
 
@@ -101,3 +102,75 @@ def test_plan_and_empty(spark):
     assert result.collect() == []
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def shifted(text, mask, digest):
+    alphabets = {"d": "0123456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    out = ""
+    for i, (c, m) in enumerate(zip(text, mask), 1):
+        symbols = alphabets.get(m, "")
+        at = (2 * i) % 60
+        out += symbols[(symbols.index(c) + int((digest + digest)[at : at + 4], 16)) % len(symbols)] if c in symbols and symbols else c
+    return out
+
+
+def plain_model(value, key):
+    """The permutation of a secret, block by block, in loops."""
+    hexadecimal = re.fullmatch("[0-9a-f]+", value)
+    mask = "".join("h" if hexadecimal else "d" if c.isdigit() else "a" if c.islower() else "u" if c.isupper() else c for c in value)
+    blocks = [value[i : i + 64] for i in range(0, len(value), 64)]
+    out = ""
+    for n, block in enumerate(blocks):
+        own = mask[64 * n : 64 * n + 64]
+        half, tweak = len(block) // 2, f"{n}|{len(value)}|{blocks[n - 1]}" if n else ""
+        left, right = block[:half], block[half:]
+        for turn in range(8):
+            other = right if turn % 2 == 0 else left
+            digest = sha256(f"{key}|text|{len(block)}{tweak}|{turn}|{other}".encode()).hexdigest()
+            if turn % 2 == 0:
+                left = shifted(left, own[:half], digest)
+            else:
+                right = shifted(right, own[half:], digest)
+        out += left + right
+    return out
+
+
+def test_secrets_agree_with_a_plain_model(spark):
+    rng = random.Random(8)
+    symbols = "abcxyzABCXYZ0189_+/-"
+    values = ["".join(rng.choice(symbols) for _ in range(n)) for n in (8, 9, 63, 64, 65, 128, 200)]
+    values += ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (16, 70)]
+    got = hidden(spark, [f"password={v}" for v in values], key="k")
+    assert [got[i].text for i in range(len(values))] == [f"password={plain_model(v, 'k')}" for v in values]
+    # Equal first blocks, or equal later ones, do not make equal pseudonyms of different values.
+    tail = "q" * 64
+    pair = hidden(spark, [f"token={'a' * 64}{tail}", f"token={'b' * 64}{tail}"], key="k")
+    assert pair[0].text[-64:] != pair[1].text[-64:]
+
+
+def test_very_long_values(spark):
+    rng = random.Random(9)
+    secret = "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(200_000))
+    texts = [
+        "a@" + "b." * 100_000 + "com 12",
+        "token=" + secret,
+        "m" * 40_000 + "@example.org",
+        "1-" * 300_000,
+        "7" * 1_000_000,
+        "+" + "12 " * 100_000,
+        "see a.b@c.org. Then x@y.org, and x@y.com1",
+    ]
+    got = hidden(spark, texts)
+    assert got[0].text == texts[0]
+    assert len(got[1].text) == len(texts[1]) and got[1].text[:6] == "token=" and got[1].text != texts[1]
+    assert got[2].text.endswith("@example.org") and got[2].text != texts[2] and got[2].n_mail == 1
+    assert [got[i].text for i in (3, 4)] == texts[3:5]
+    assert re.fullmatch(r"see [a-z]\.[a-z]@c\.org\. Then [a-z]@y\.org, and x@y\.com1", got[6].text)
+
+
+def test_other_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("mail a@b.org", 1, 2, 3)], "text string, _new int, _kinds int, `a.b` int")
+    row = pseudonymised(docs, counts=False).first()
+    assert row.asDict() == {"text": row.text, "_new": 1, "_kinds": 2, "a.b": 3} and row.text != "mail a@b.org"
+    only = pseudonymised(spark.createDataFrame([("mail a@b.org",)], "text string"))
+    assert only.first().n_mail == 1 and only.columns[0] == "text"

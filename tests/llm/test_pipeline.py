@@ -33,3 +33,24 @@ def test_stages(spark, tmp_path):
     mix = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert mix.count() == 80
     assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(repr, mix.collect()))
+
+
+def test_stages_take_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    names = ["score", "lang_pred", "n_mail", "_new", "_words", "_spans", "_packed", "_text", "component_id", "kept"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in names)
+    spark.createDataFrame([(1, "nothing of this here")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"the water and the house of number {'abcdefghij'[i]} mail me@x.org", "en", "s", 0, *range(len(names))) for i in range(10)]
+    for number, given in enumerate((rows, [])):
+        docs = spark.createDataFrame(given, schema)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = settled(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == columns
+            assert {tuple(r)[5:] for r in docs.collect()} == ({tuple(range(len(names)))} if given else set())
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_an_empty_benchmark(spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a b", 0), (2, None, 0)], "doc_id bigint, text string, _items int")
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == 2
