@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specmill.llm.common import packed, unpacked
 from specmill.llm.decontaminate import decontaminated
 from specmill.llm.langid import UNDETERMINED, predicted_languages, trained_net
 from specmill.llm.mixing import mixed
@@ -24,10 +25,11 @@ LEAST_LANGUAGE_SCORE = 0.3
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; texts without a letter and unclear ones go."""
     net = trained_net(docs, "doc_id", "text", "lang")
-    kept = tuple(docs.columns)
-    judged = predicted_languages(docs.withColumn("_whole", F.col("text")), net, text="_whole", carried=kept)
+    # The network reads a copy of the text: without a letter it is null there, and the row's own stays as it is.
+    rows = packed(docs, "text").withColumn("_whole", F.col("_text"))
+    judged = predicted_languages(rows, net, text="_whole", carried=("_packed", "_text"))
     clear = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(clear).select(*kept)
+    return judged.where(clear).select(*unpacked(docs.columns, "text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``.
+
+    Rows with a null id stay through all stages; null texts and texts without a letter go in the first. Of repeated rows
+    one stays. An empty table gives no rows. Further columns, whatever their names, go through all stages but the last.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
