@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.operators.journal import ReplyJournal
 from specmill.operators.ledger import first_copies, first_quota_seq, merged_ledger, path_outcomes, with_history
 from specmill.operators.replies import MAX_ATTEMPTS, TextModel, resolved
-from specmill.operators.scoring import WAVE, scored
+from specmill.operators.scoring import PER_TASK, WAVE, scored
 from specmill.operators.selection import MAX_CHARS, with_excerpt
 from specmill.operators.upsert import upserted
 from specmill.operators.validation import as_records, validated
@@ -35,6 +36,8 @@ class RunOptions:
     max_attempts: int = MAX_ATTEMPTS
     wave: int = WAVE
     tasks: int | None = None
+    in_flight: int = 1
+    per_task: int = PER_TASK
 
 
 def run_files(
@@ -50,7 +53,8 @@ def run_files(
 
     Returns one outcome row per path; what the run wrote in between is removed at its end. Records are written before the ledger: a run that
     dies in between processes those files again and updates the same records.
-    Files with an ``error`` and no hash fail without a ledger entry.
+    Files with an ``error`` and no hash fail without a ledger entry. Replies that were paid for are kept until their files
+    are settled: neither a quota error nor a run that dies makes a later one pay for them again.
     """
     with scratch_scope(spark):
         return _run_files(spark, files, load_pages, root, rules, make_client, options)
@@ -83,7 +87,12 @@ def _run_files(
     gone = F.when(F.col("_found").isNull(), "FileNotFoundError: content is no longer there")
     documents = settled(found.withColumn("error", F.coalesce("error", gone)).drop("_found"), "documents")
     to_score = documents.where("skip_reason IS NULL AND error IS NULL")
-    attempts = scored(to_score, rules, make_client, options.max_attempts, options.wave, tasks=options.tasks)
+    # A forced run asks again; it still leaves its replies to the next run, should it die.
+    journal = ReplyJournal(spark, root)
+    attempts = scored(
+        to_score, rules, make_client, options.max_attempts, options.wave, tasks=options.tasks,
+        in_flight=options.in_flight, per_task=options.per_task, journal=journal, recall=not options.force,
+    )
 
     answers = settled(resolved(attempts, rules, options.max_attempts), "answers")
     judged = documents.join(answers, "source_hash", "left")
@@ -136,6 +145,7 @@ def _run_files(
         .withColumn("processed_at", F.current_timestamp())
     )
     ledger.replace(merged_ledger(old_ledger, entries), sort=["source_hash"])
+    journal.prune(ledger.read())
 
     seen = contents.join(results, "source_hash", "left")
     outcomes = path_outcomes(readable, seen, cutoff, options.force)
@@ -170,6 +180,11 @@ def run_paths(
     stay in the task that reads them.
     """
     files = in_arrival_order(fingerprinted(discover(spark, paths)))
+    return run_files(spark, files, page_reader(read_pages), root, rules, make_client, options)
+
+
+def page_reader(read_pages: Callable[[bytes], list[str]]) -> PageLoader:
+    """Reads the files to process by name, each in one task."""
 
     def load_pages(todo: DataFrame) -> DataFrame:
         wanted = todo.select("source_hash", "source_file", F.lit(None).cast("string").alias("error"))
@@ -179,7 +194,7 @@ def run_paths(
 
         return read_in_tasks(wanted, pages_of, "pages", T.ArrayType(T.StringType()))
 
-    return run_files(spark, files, load_pages, root, rules, make_client, options)
+    return load_pages
 
 
 def run_texts(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specmill.operators import ledger as led
 from specmill.operators import records as rec
 from specmill.operators import upsert as up
+from specmill.operators.journal import ReplyJournal
 from specmill.operators.replies import RETRY_NOTE, parsed_reply_ok, prompt, resolved, with_raw
 from specmill.operators.scoring import scored
 from specmill.operators.selection import assembled, chosen_pages, keyword_score, with_excerpt
@@ -21,8 +22,8 @@ from specmill.session import scratch_path, settled
 from specmill.sources.files import discover, exists, fingerprint, fingerprinted, state_of
 from specmill.sources.pages import page_rows, paginate, without_text
 from specmill.sources.rules import load_rules
-from specmill.sources.tables import exported, imported, ledger_table, record_table
-from specmill.streaming.incremental import start_incremental
+from specmill.sources.tables import PartLog, exported, imported, ledger_table, record_table
+from specmill.streaming.incremental import PENDING_NAMES, start_files, start_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = load_rules()
@@ -63,6 +64,25 @@ class LaterModel(LengthModel):
         return f'{{"manufacturer": "maker", "part_number": "P{chars}"}}'
 
 
+class PatientModel(LengthModel):
+    """Answers every sheet at the second try at the latest."""
+
+    def complete(self, prompt: str) -> str:
+        chars = len(sheet_of(prompt))
+        if chars % 5 == 0 and not prompt.endswith(RETRY_NOTE):
+            return "no data"
+        return f'{{"manufacturer": "maker", "part_number": "P{chars}"}}'
+
+
+class PatientQuotaModel(PatientModel):
+    """Runs out of its quota at the second try for sheets of certain lengths."""
+
+    def complete(self, prompt: str) -> str:
+        if len(sheet_of(prompt)) % 100 == 5 and prompt.endswith(RETRY_NOTE):
+            raise RuntimeError("429 RESOURCE_EXHAUSTED")
+        return super().complete(prompt)
+
+
 def sheet_of(prompt: str) -> str:
     return prompt.removesuffix(RETRY_NOTE).split('"""\n', 1)[1].removesuffix('\n"""')
 
@@ -209,6 +229,21 @@ def q_score_job(spark, folder):
     return attempts.select("source_hash", "attempt", parsed_reply_ok(F.col("reply"), RULES).alias("usable"))
 
 
+def q_reply_journal(spark, folder):
+    """Replies paid for by a run that ends for its quota and the run after it: as many as one healthy run needs."""
+    readable = settled(with_excerpt(without_text(_unique_documents(spark, folder)).where("skip_reason IS NULL")), "readable")
+    journal = ReplyJournal(spark, scratch_path(spark, "journal"))
+    scored(readable, RULES, PatientQuotaModel, wave=512, in_flight=4, per_task=16, journal=journal)
+    attempts = scored(readable, RULES, PatientModel, in_flight=4, journal=journal)
+    used = attempts.groupBy("source_hash").agg(
+        F.max(parsed_reply_ok(F.col("reply"), RULES)).alias("usable"), F.count("error").alias("errors")
+    )
+    paid = journal.read().where("error IS NULL").groupBy("source_hash").agg(
+        F.count("*").alias("paid"), F.max("number").alias("last_number")
+    )
+    return paid.join(used, "source_hash")
+
+
 # -- validation --------------------------------------------------------------------
 
 
@@ -361,6 +396,29 @@ def q_stream_incremental(spark, folder):
     )
 
 
+def q_stream_files(spark, folder):
+    """A folder of files that grows in three steps, the last one with copies under new names; a run after each step."""
+    root, arriving = scratch_path(spark, "files"), scratch_path(spark, "arriving")
+    documents = given.load(spark, folder, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    for step in range(3):
+        given.put_files(documents.where(F.col("doc_id") % 3 == step), arriving, "doc")
+        if step == 2:
+            given.put_files(documents.where(F.col("doc_id") % 3 == 0), arriving, "copy")
+        start_files(spark, arriving, lines_of, root, RULES, LengthModel).awaitTermination()
+    ledger = ledger_table(spark, root).read()
+    pending = PartLog(spark, f"{root}/pending", PENDING_NAMES).read().distinct()
+    names = ledger.select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "source_hash", "outcome", "record_id")
+    waiting = pending.select(F.element_at(F.split("source_file", "/"), -1).alias("file"), F.lit(True).alias("_waits"))
+    return names.join(waiting, "file", "left").select(
+        "source_hash", "outcome", F.col("record_id").isNotNull().alias("has_record"), F.col("_waits").isNotNull().alias("waits")
+    )
+
+
+def lines_of(blob: bytes) -> list[str]:
+    """A text file's lines as its pages."""
+    return blob.decode().split("\n")
+
+
 # -- upsert ------------------------------------------------------------------------
 
 

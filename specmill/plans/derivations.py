@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from specmill.operators.replies import with_raw
 from specmill.operators.validation import as_records, validated
+from specmill.sources.files import put
 from specmill.sources.rules import RuleSet
 
 SPARK = {"sha": "sha2({0}, 256)", "four": "explode(array(1, 2, 3, 4))"}
@@ -222,3 +223,16 @@ def records(spark: SparkSession, folder: str, rules: RuleSet) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("seq") % 365).cast("int")).cast("timestamp")
     rows = as_records(checked(spark, folder, rules), rules, extracted_at=day)
     return rows.withColumn("id", F.col("seq") + 1).drop("seq")
+
+
+def put_files(documents: DataFrame, folder: str, stem: str) -> None:
+    """Each document (doc_id, text) as a file ``<stem>-<doc_id>.pdf`` of its text in ``folder``."""
+
+    def write(batches):
+        for batch in batches:
+            for number, text in zip(batch["doc_id"], batch["text"]):
+                put(folder, f"{stem}-{number:012d}.pdf", text.encode())
+            yield batch[["doc_id"]]
+
+    spread = documents.repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    spread.mapInPandas(write, "doc_id bigint").write.format("noop").mode("overwrite").save()

@@ -350,6 +350,12 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
         "q_score_job": f"""SELECT source_hash, attempt, case when chars % 10 = 0 then false when chars % 5 = 0 then attempt = 2 else true end AS usable
             FROM ({scored}) s, unnest([1, 2, 3]) t(attempt)
             WHERE attempt <= case when chars % 10 = 0 then 3 when chars % 5 = 0 then 2 else 1 end""",
+        "q_reply_journal": f"""SELECT source_hash, paid, paid AS last_number, true AS usable, 0 AS errors
+            FROM (SELECT source_hash, case when chars % 5 = 0 then 2 else 1 end AS paid FROM ({scored}) s) p""",
+        "q_stream_files": f"""SELECT source_hash, case when chars % 10 = 0 then 'failed' else 'stored' end AS outcome,
+              chars % 10 <> 0 AS has_record, chars % 10 = 0 AS waits FROM ({scored}) s
+            UNION ALL SELECT DISTINCT sha256(text), 'skipped', false, false FROM documents
+              WHERE doc_id IN (SELECT doc_id FROM ({totals}) t WHERE total < {SHORT})""",
         "q_run_quota": f"""
             SELECT seq, case when seq > cut then 'deferred' when seq > first_seq and now <> 'failed' then 'unchanged' else now end AS outcome,
               case when seq > cut then 'API quota exhausted; run again later'

@@ -82,12 +82,31 @@ def discover(spark: SparkSession, paths: Sequence[str], glob: str = DOCUMENT_GLO
     return reduce(DataFrame.unionByName, parts)
 
 
+def _reached(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and its name there, as executors reach it."""
+    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+
+
 def opened(path: str):
     """A stream over the bytes of a file, wherever executors reach it."""
-    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    system, name = _reached(path)
     return system.open_input_stream(name)
 
 
+def put(folder: str, name: str, data: bytes = b"") -> None:
+    """Write a file into a folder, which need not be there yet. Runs in tasks."""
+    system, place = _reached(folder)
+    system.create_dir(place, recursive=True)
+    with system.open_output_stream(f"{place}/{name}") as stream:
+        stream.write(data)
+
+
+def names_in(folder: str) -> list[str]:
+    """Names of the files in a folder; none if it is not there. Runs in tasks."""
+    system, place = _reached(folder)
+    return [found.base_name for found in system.get_file_info(fs.FileSelector(place, allow_not_found=True))]
+
+
 def read_in_tasks(files: DataFrame, read: Callable, value: str, kind: T.DataType) -> DataFrame:
     """Adds ``value``: what ``read(stream)`` makes of each file that has no ``error`` yet; its failure becomes the ``error``.
 

@@ -104,6 +104,34 @@ class SnapshotTable:
         stream.close()
 
 
+class PartLog:
+    """Rows that are only ever added, a Parquet folder per part, until one call replaces all parts by what is left."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def read(self) -> DataFrame:
+        if not exists(self.spark, self.root):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.root)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Write ``rows`` as part ``name``; the same part written again takes the place of the first."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    def compact(self, left: DataFrame) -> None:
+        """Replace all parts by ``left``. It is written first: a crash in between leaves some rows twice, and loses none."""
+        if not exists(self.spark, self.root):
+            return
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.root)
+        system = folder.getFileSystem(conf)
+        read = [found.getPath() for found in system.listStatus(folder)]
+        self.add(f"left-{uuid.uuid4().hex}", left)
+        for path in read:
+            system.delete(path, True)
+
+
 class ConcurrentWriteError(RuntimeError):
     """Another run has written the table since this one read it."""
 

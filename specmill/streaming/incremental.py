@@ -1,13 +1,14 @@
 """The batch job over a growing folder or table, one micro-batch at a time.
 
 The ledger is the state: contents are recognised by their hash, so renamed files do no
-work. Files that failed or were deferred are kept in a pending table, because the source's checkpoint moves past
+work. Files that failed or were deferred are added to a pending log, because the source's checkpoint moves past
 them; every run begins with them, whether new files have arrived or not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from specmill.operators.ledger import DEFERRED_REASON
 from specmill.operators.replies import QUOTA_REASON, TextModel
-from specmill.plans.batch import RunOptions, run_files
+from specmill.plans.batch import PageLoader, RunOptions, page_reader, run_files
 from specmill.session import settled
-from specmill.sources.files import in_arrival_order
+from specmill.sources.files import DOCUMENT_GLOB, fingerprinted, in_arrival_order
 from specmill.sources.rules import RuleSet
-from specmill.sources.tables import SnapshotTable
+from specmill.sources.tables import PartLog
 
 PENDING = T.StructType(
     [
@@ -29,6 +30,19 @@ PENDING = T.StructType(
         T.StructField("pages", T.ArrayType(T.StringType())),
     ]
 )
+PENDING_NAMES = T.StructType([T.StructField("source_file", T.StringType())])
+
+OnOutcomes = Callable[[DataFrame, int], None]
+
+
+@dataclass(frozen=True)
+class Arrivals:
+    """How the rows of a stream become files, and their contents pages; ``key`` names a row that has to wait."""
+
+    key: list[str]
+    schema: T.StructType
+    files: Callable[[DataFrame], DataFrame]
+    pages: Callable[[DataFrame], PageLoader]
 
 
 def start_incremental(
@@ -38,7 +52,7 @@ def start_incremental(
     make_client: Callable[[], TextModel],
     checkpoint: str | None = None,
     options: RunOptions = RunOptions(),
-    on_outcomes: Callable[[DataFrame, int], None] | None = None,
+    on_outcomes: OnOutcomes | None = None,
 ) -> StreamingQuery:
     """Run the pending files and every available micro-batch of ``stream`` (source_file, source_hash, pages), then stop.
 
@@ -46,15 +60,13 @@ def start_incremental(
     model calls of the whole run: what arrives in later micro-batches is deferred, and is pending for the next run. A batch
     that is run again after a crash finds its files in the ledger and leaves the tables as they are.
     """
-    spark = stream.sparkSession
-    pending = pending_table(spark, root)
-    run = {"quota": False}
 
-    def handle(batch: DataFrame, number: int) -> None:
+    def files_of(batch: DataFrame) -> DataFrame:
         # Only names and hashes are sorted; page texts are read again for unsettled contents.
         files = in_arrival_order(batch.select(F.lit(0).alias("argument"), "source_file", "source_hash"))
-        files = files.select("seq", "source_file", "source_hash", F.lit(None).cast("string").alias("error"))
+        return files.select("seq", "source_file", "source_hash", F.lit(None).cast("string").alias("error"))
 
+    def pages_of(batch: DataFrame) -> PageLoader:
         def load_pages(todo: DataFrame) -> DataFrame:
             keys = ["source_file", "source_hash"]
             wanted = batch.join(todo.select(*keys), keys, "left_semi")
@@ -62,23 +74,85 @@ def start_incremental(
                 "source_hash", "source_file", "pages", F.lit(None).cast("string").alias("error")
             ).dropDuplicates(["source_hash"])
 
+        return load_pages
+
+    arrivals = Arrivals(["source_file", "source_hash"], PENDING, files_of, pages_of)
+    return _started(stream, arrivals, root, rules, make_client, checkpoint, options, on_outcomes)
+
+
+def start_files(
+    spark: SparkSession,
+    folder: str,
+    read_pages: Callable[[bytes], list[str]],
+    root: str,
+    rules: RuleSet,
+    make_client: Callable[[], TextModel],
+    checkpoint: str | None = None,
+    options: RunOptions = RunOptions(),
+    on_outcomes: OnOutcomes | None = None,
+    glob: str = DOCUMENT_GLOB,
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """The same over a growing folder of files: those that are new since the last run, and those that are pending.
+
+    The stream carries names alone. Bytes are hashed and, where a content is not settled yet, read in tasks; neither
+    they nor page texts are shuffled or kept. ``read_pages`` turns one file's bytes into page texts. A file that is gone when its
+    turn comes fails, and is not offered again.
+    """
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # Without the content column no file is opened by the source.
+    stream = reader.load(folder).select(F.col("path").alias("source_file"))
+
+    def files_of(batch: DataFrame) -> DataFrame:
+        named = batch.select(F.lit(0).alias("argument"), "source_file", F.lit(None).cast("string").alias("error"))
+        return in_arrival_order(fingerprinted(named))
+
+    arrivals = Arrivals(["source_file"], PENDING_NAMES, files_of, lambda batch: page_reader(read_pages))
+    return _started(stream, arrivals, root, rules, make_client, checkpoint, options, on_outcomes)
+
+
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _started(
+    stream: DataFrame,
+    arrivals: Arrivals,
+    root: str,
+    rules: RuleSet,
+    make_client: Callable[[], TextModel],
+    checkpoint: str | None,
+    options: RunOptions,
+    on_outcomes: OnOutcomes | None,
+) -> StreamingQuery:
+    spark = stream.sparkSession
+    pending = PartLog(spark, f"{root}/pending", arrivals.schema)
+    run = {"quota": False}
+
+    def handle(batch: DataFrame, number: int) -> None:
+        files = arrivals.files(batch)
         if run["quota"]:
             outcomes = settled(all_deferred(files), "outcomes")
         else:
-            outcomes = run_files(spark, files, load_pages, root, rules, make_client, options)
+            outcomes = run_files(spark, files, arrivals.pages(batch), root, rules, make_client, options)
             run["quota"] = bool(outcomes.where("outcome = 'deferred'").head(1)) or quota_failed(outcomes)
-        again = outcomes.where(F.col("outcome").isin("failed", "deferred")).select("source_file", "source_hash").distinct()
-        left = batch.select("source_file", "source_hash", "pages").join(again, ["source_file", "source_hash"], "left_semi")
-        # The first batch holds all that was pending, so what it leaves replaces the table.
-        if number >= 0:
-            left = left.unionByName(pending.read())
-        pending.replace(left.dropDuplicates(["source_file", "source_hash"]))
+        gone = F.col("reason").startswith("FileNotFoundError") & F.col("source_hash").isNull()
+        again = outcomes.where(F.col("outcome").isin("failed", "deferred") & ~F.coalesce(gone, F.lit(False)))
+        again = again.select(*arrivals.key).distinct()
+        left = batch.select(*arrivals.schema.names).join(again, arrivals.key, "left_semi").dropDuplicates(arrivals.key)
+        if number < 0:
+            # This batch holds all that was pending, so what it leaves replaces the log.
+            pending.compact(left)
+        elif again.head(1):
+            # A part per batch: what waits already is not written again.
+            pending.add(f"batch-{number:012d}", left)
         if on_outcomes is not None:
             on_outcomes(outcomes, number)
 
     waiting = pending.read()
     if waiting.head(1):
-        handle(waiting, -1)
+        handle(waiting.dropDuplicates(arrivals.key), -1)
     return (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint or f"{root}/stream")
@@ -87,11 +161,6 @@ def start_incremental(
     )
 
 
-def pending_table(spark: SparkSession, root: str) -> SnapshotTable:
-    """Files to offer again, with their pages."""
-    return SnapshotTable(spark, f"{root}/pending", PENDING)
-
-
 def quota_failed(outcomes: DataFrame) -> bool:
     """Whether a path of this batch hit the quota itself: the last one may leave nothing behind it to defer."""
     return bool(outcomes.where((F.col("outcome") == "failed") & (F.col("reason") == QUOTA_REASON)).head(1))
