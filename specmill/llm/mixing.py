@@ -120,9 +120,48 @@ def scheduled_blocks(targets: DataFrame, block: int) -> DataFrame:
     """
     slots = settled(schedule(targets, block).withColumn("_key", F.struct("_none", "_source")), "mix-slots")
     ranked = running_count(slots, "_key", "slot", F.lit(True), "_rank", bits=12)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block)))
     return ranked.join(targets, ["_none", "_source"]).select(
-        "slot", "_none", "_source", "_rank", F.pmod("_rank", blocks).alias("_block")
+        "slot", "_none", "_source", "_rank", F.pmod("_rank", blocks_of(block)).alias("_block")
+    )
+
+
+def blocks_of(block: int) -> Column:
+    """Blocks of a source's stream; the last one may be short."""
+    return F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block)))
+
+
+def with_closing(scheduled: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``scheduled`` and the closing slots (``slot`` null) of sources that it leaves short, with ``_words`` each brings.
+
+    Slots go round a source's blocks. They bring whole blocks until the target, rounded down, is reached: the slot that reaches
+    it is cut short and later ones bring nothing. A source of fewer slots than that gets closing slots for its next blocks.
+    """
+    source = ["_none", "_source"]
+    had = scheduled.groupBy(*source).agg((F.max("_rank") + 1).alias("_had"))
+    rounds = F.floor(F.floor("target") / F.col("source_size"))
+    rest = F.floor("target") - rounds * F.col("source_size")
+    wanted = (rounds * blocks_of(block) + F.ceil(rest / F.lit(block))).cast("bigint")
+    short = targets.where(F.col("source_size") > 0).join(had, source, "left")
+    short = short.withColumns({"_had": F.coalesce("_had", F.lit(0).cast("bigint")), "_wanted": wanted})
+    closing = short.where(F.col("_had") < F.col("_wanted")).select(
+        F.lit(None).cast("bigint").alias("slot"), *source, F.explode(F.sequence("_had", F.col("_wanted") - 1)).alias("_rank"), "source_size"
+    )
+    closing = closing.withColumn("_block", F.pmod("_rank", blocks_of(block))).drop("source_size")
+    every = scheduled.unionByName(closing).join(targets.select(*source, "source_size", "target"), source)
+    size = F.least(F.lit(block).cast("bigint"), F.col("source_size") - F.col("_block") * block)
+    start = F.floor(F.col("_rank") / blocks_of(block)) * F.col("source_size") + F.col("_block") * block
+    words = F.greatest(F.lit(0).cast("bigint"), F.least(size, F.floor("target") - start))
+    return every.select("slot", *source, "_rank", "_block", size.alias("_size"), words.cast("bigint").alias("_words"))
+
+
+def dealt_blocks(slots: DataFrame) -> DataFrame:
+    """(_none, _source, _block, _whole, _part, _slot): how often slots bring a block as a whole, how many words one more
+    brings of it, and the first slot of all."""
+    whole = F.col("_words") == F.col("_size")
+    return slots.groupBy("_none", "_source", "_block").agg(
+        F.count(F.when(whole, 1)).alias("_whole"),
+        F.coalesce(F.sum(F.when(~whole, F.col("_words"))), F.lit(0)).alias("_part"),
+        F.min(F.when(F.col("_words") > 0, F.col("slot"))).alias("_slot"),
     )
 
 
@@ -138,12 +177,11 @@ def mixed(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_word, first_slot), a row per row of ``docs``.
 
-    ``first_word`` is the document's place in its source's shuffled stream, ``first_slot`` the slot whose
-    block brings it into the mix first. The slots deal whole blocks; what the schedule is
-    ahead or behind of a source's target in the end, a few blocks, a closing slot per source gives back or adds, so
-    a source's words are its target rounded down. ``taken`` counts the document's words in them; streams are
-    taken in turn, so no document passes ``cap`` times its size. ``first_slot`` is null for documents
-    that only a closing slot brings, and for those not taken.
+    ``first_word`` is the document's place in its source's shuffled stream, ``first_slot`` the first slot that brings
+    words of it into the mix. The slots deal blocks, and ``taken`` counts the document's words in the blocks that they deal;
+    closing slots fill up a source that the schedule leaves a few blocks short, and what it is ahead is cut off, so
+    a source's words are its target rounded down. Streams are taken in turn, so no document passes ``cap`` times its size.
+    ``first_slot`` is null for documents that only closing slots bring, and for those not taken.
 
     A null text has no words; null sources are one source, placed last; an empty table gives no
     rows; repeated rows are documents of their own. Results depend on ids, sizes and sources only;
@@ -161,7 +199,7 @@ def mixed(
     offsets = (
         buckets.withColumn("_offset", F.coalesce(F.sum("_words").over(carried_over), F.lit(0)))
         .join(targets, ["_none", "_source"])
-        .select("_none", "_source", "_bucket", "_offset", "source_size", "target")
+        .select("_none", "_source", "_bucket", "_offset", "source_size", F.col("target").cast("double").alias("target"))
     )
     inside = (
         Window.partitionBy("_none", "_source", "_bucket")
@@ -169,29 +207,34 @@ def mixed(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     begin = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = (
-        rows.join(offsets, ["_none", "_source", "_bucket"])
-        .withColumn("first_word", begin)
-        .withColumn("_taken", F.floor("target"))
-        .withColumn(
-            "_passes",
-            F.when(F.col("source_size") > 0, F.floor(F.col("_taken") / F.col("source_size"))).otherwise(0),
-        )
-        .withColumn("_rest", F.col("_taken") - F.col("_passes") * F.col("source_size"))
-        .withColumn("_rank", F.floor(F.col("first_word") / F.lit(block)))
+    placed = rows.join(offsets, ["_none", "_source", "_bucket"]).withColumn("first_word", begin)
+    placed = settled(placed.withColumn("_row", F.monotonically_increasing_id()), "mix-placed")
+    dealt = dealt_blocks(with_closing(scheduled_blocks(targets, block), targets, block))
+    # Documents without words lie at one place, many at a time: they take no part in the join.
+    last = F.col("first_word") + F.col("size") - 1
+    pieces = placed.where(F.col("size") > 0).select(
+        "_row",
+        "_none",
+        "_source",
+        "first_word",
+        "size",
+        F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block))).alias("_block"),
+    )
+    start = F.col("_block") * block
+    low = F.greatest(F.col("first_word"), start)
+    high = F.least(F.col("first_word") + F.col("size"), start + block)
+    cut = F.greatest(F.lit(0), F.least(high, start + F.col("_part")) - low)
+    words = F.col("_whole") * (high - low) + cut
+    brought = pieces.join(dealt, ["_none", "_source", "_block"]).withColumn("_words", words)
+    counted = brought.where(F.col("_words") > 0).groupBy("_row").agg(
+        F.sum("_words").alias("taken"), F.min("_slot").alias("first_slot")
     )
-    part = F.least(F.col("first_word") + F.col("size"), F.col("_rest")) - F.col("first_word")
-    first = scheduled_blocks(targets, block).where(F.col("_rank") == F.col("_block"))
-    return placed.join(
-        first.select("_none", "_source", "_rank", F.col("slot").alias("first_slot")),
-        ["_none", "_source", "_rank"],
-        "left",
-    ).select(
+    return placed.join(counted, "_row", "left").select(
         F.col("_id").alias(key),
         "size",
         "source_size",
-        F.col("target").cast("double").alias("target"),
-        (F.col("_passes") * F.col("size") + F.greatest(F.lit(0), part)).cast("bigint").alias("taken"),
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
         "first_word",
-        F.when((F.col("_passes") > 0) | (part > 0), F.col("first_slot")).alias("first_slot"),
+        "first_slot",
     )

@@ -1,7 +1,8 @@
 import random
 from collections import defaultdict
 
-from specmill.llm.mixing import mixed, schedule, scheduled_blocks, source_targets
+from specmill.llm import mixing
+from specmill.llm.mixing import mixed, schedule, scheduled_blocks, source_targets, with_closing
 
 
 def targets_by_hand(sizes, weights=(3, 1, 2), share=1.5, cap=2):
@@ -73,3 +74,40 @@ def test_no_rows_and_no_words(spark):
 def test_plan_has_no_python(spark):
     plan = mixed(table(spark, [(1, "a b", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def small_mix(spark, block=16):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.choice([1, 7, 30, 70])), rng.choice(["a", "b", "b", None])) for i in range(60)]
+    return sorted(mixed(table(spark, rows), block=block).collect(), key=lambda r: r.doc_id), dict((r[0], r[2]) for r in rows)
+
+
+def test_taken_is_what_the_slots_deal(spark, monkeypatch):
+    """Word by word: each slot hands out the words of its block, one by one."""
+    kept = {}
+
+    def noted(*args):
+        kept["slots"] = with_closing(*args)
+        return kept["slots"]
+
+    monkeypatch.setattr(mixing, "with_closing", noted)
+    got, source_of = small_mix(spark)
+    words = defaultdict(int)
+    for r in kept["slots"].collect():
+        for at in range(r._block * 16, r._block * 16 + r._words):
+            words[None if r._none else r._source, at] += 1
+    for r in got:
+        assert r.taken == sum(words[source_of[r.doc_id], at] for at in range(r.first_word, r.first_word + r.size))
+    closing = [r for r in kept["slots"].collect() if r.slot is None]
+    assert len(closing) <= 3 * len({r._source for r in kept["slots"].collect()})
+
+
+def test_the_schedule_decides(spark, monkeypatch):
+    got, _ = small_mix(spark)
+    plain = mixing.scheduled_blocks
+    monkeypatch.setattr(mixing, "scheduled_blocks", lambda t, b: plain(t, b).where("_rank <> 3"))
+    fewer, _ = small_mix(spark)
+    assert sum(r.taken for r in got) - sum(r.taken for r in fewer) == 16 * 3
+    monkeypatch.setattr(mixing, "scheduled_blocks", lambda t, b: plain(t, b).withColumn("_block", (mixing.F.col("_block") + 1) % 3))
+    other, _ = small_mix(spark)
+    assert [r.taken for r in other] != [r.taken for r in got]
