@@ -3,7 +3,8 @@
 A page becomes a list of text blocks, each with its path of block tags from the root. Text length and punctuation are
 added up per path, smoothed along the page, fused, and compared with a threshold of the page's own spread:
 paths above it carry content. The element that holds nearly all of that content is the article; content and
-headings beside it belong to it too, unless an article or main element says where the article ends.
+headings beside it belong to it too, unless an article or main element says where the article ends. Names and wrappers
+that usually mark something else give way to an article below them; inside an article the text's own score decides.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 NAME_PARTS = re.compile(r"[^0-9a-z]+")
 
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset "
@@ -51,8 +53,10 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 ARTICLE = frozenset(("article", "main"))
 # Elements, roles and parts of class and id names that mark something other than the article.
 NOT_ARTICLE = frozenset(
-    "head nav aside footer form button select option svg canvas dialog menu object fieldset audio video map".split()
+    "head nav aside footer button select option svg canvas dialog menu audio video map".split()
 )
+# Not the article either, but some pages stand in one as a whole.
+WRAPPERS = frozenset("form fieldset object".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 NOT_ARTICLE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion nav navbar navigation menu "
@@ -62,12 +66,23 @@ NOT_ARTICLE_NAMES = frozenset(
 )
 # Such names mark other people's texts, which may be longer than the article.
 OTHER_TEXTS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+# Inside an article these may be its subject: there the text decides.
+DOUBTFUL_NAMES = frozenset(
+    "promo promotion notice notices alert banner search social share sharing signup login widget copyright".split()
+)
+# Words that say how an element is laid out, not what it holds: inside an article, a name of others too is another name.
+FRAME_NAMES = frozenset(
+    "box bar block section container wrapper wrap list area form link links button buttons icon icons item items panel top "
+    "bottom left right inner outer post posts article articles header title text body unit slot card thread count meta".split()
+)
 # Site headers go, but an article may have a header of its own.
 OUTSIDE_ARTICLE_NAMES = frozenset(("header", "masthead", "topbar"))
 
 SMOOTHING = 2
 SHARE = 0.8
 THRESHOLD = 0.5
+# A paragraph of so many characters outside links, with punctuation, is no label of a form.
+PROSE = 80
 
 
 class Page:
@@ -77,6 +92,8 @@ class Page:
         self.tag, self.parent, self.path, self.out, self.within = ["#root"], [-1], [0], [False], [False]
         # Marks of an element itself: surely not the article; not the article by a part of its name; other texts by name.
         self.hard, self.named, self.other = [False], [False], [False]
+        # Marked as a wrapper; by a name that means little inside an article, and the next such element above or 0.
+        self.wraps, self.doubtful, self.doubt = [False], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._paths: dict[tuple[int, str], int] = {}
         self._pieces: list[tuple[str, bool]] = []
@@ -85,7 +102,6 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, links, at = [0], 0, 0
-        lowered = None
         while True:
             match = TOKEN.search(source, at)
             # A "<" that opens nothing is text.
@@ -101,9 +117,8 @@ class Page:
             name, closing = name.lower(), match.group(1)
             if name in RAW:
                 if not closing and not match.group(3).endswith("/"):
-                    lowered = source.lower() if lowered is None and len(source.lower()) == len(source) else lowered
-                    end = (lowered or source).find("</" + name, at)
-                    at = len(source) if end < 0 else end
+                    end = RAW_END[name].search(source, at)
+                    at = end.start() if end else len(source)
                 continue
             if name == "br" or name == "hr":
                 self._pieces.append((" ", False))
@@ -137,18 +152,20 @@ class Page:
                     del stack[depth:]
                     if name != "tr":
                         break
-        above, hard, named, other = stack[-1], False, False, False
+        above, hard, named, other, doubtful = stack[-1], False, False, False, False
         within = self.within[above] or name in ARTICLE
         if attributes:
             found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             parts = set(NAME_PARTS.split(names))
+            marks = set() if name in ("html", "body", "article", "main") else marking_names(names, self.within[above])
             style = found.get("style", "").replace(" ", "").lower()
             within = within or found.get("role") == "main"
-            named = bool(parts & NOT_ARTICLE_NAMES and name not in ("html", "body", "article", "main")) or bool(
+            doubtful = self.within[above] and bool(marks) and marks <= DOUBTFUL_NAMES
+            named = bool(marks and not doubtful) or bool(
                 parts & OUTSIDE_ARTICLE_NAMES and not within and name not in ("html", "body")
             )
-            other = named and bool(parts & OTHER_TEXTS)
+            other = named and bool(marks & OTHER_TEXTS)
             hard = (
                 found.get("role", "").lower() in NOT_ARTICLE_ROLES
                 or "hidden" in found
@@ -162,8 +179,11 @@ class Page:
         self.path.append(self._paths.setdefault((self.path[above], label), len(self._paths) + 1))
         self.out.append(False)
         self.hard.append(hard)
-        self.named.append(named)
+        self.named.append(named or name in WRAPPERS)
         self.other.append(other)
+        self.wraps.append(name in WRAPPERS)
+        self.doubtful.append(doubtful)
+        self.doubt.append(len(self.doubt) if doubtful else self.doubt[above])
         self.within.append(within)
         if name not in VOID:
             stack.append(len(self.tag) - 1)
@@ -172,11 +192,15 @@ class Page:
         """Sets what is outside the article: all below a mark, but a mark by name goes where the main text is below it.
 
         That is so if an article or main element below it is longer than all text without a mark, or its own text is,
-        unless the name says that it is others' or an article or main element without a mark has text.
+        unless the name says that it is others' or an article or main element without a mark has text. A form
+        and the like give way in the same cases, but of their own text only paragraphs of prose count.
         """
-        own = [0] * len(self.tag)
+        own, prose = [0] * len(self.tag), [0] * len(self.tag)
         for element, text, linked in self.blocks:
-            own[element] += max(0, len(text) - linked)
+            length = max(0, len(text) - linked)
+            own[element] += length
+            if self.tag[element] == "p" and length >= PROSE and PUNCTUATION.search(text):
+                prose[element] += length
         while True:
             self.out = [False] * len(self.tag)
             sure = [False] * len(self.tag)
@@ -191,10 +215,13 @@ class Page:
             clear = sum(n for n, out in zip(own, self.out) if not out)
             told = any(n and within and not out for n, within, out in zip(own, self.within, self.out))
             # Text of an element without what is below a mark inside it.
-            text = own[:]
+            text, told_in_prose = own[:], prose[:]
             for e in range(len(self.tag) - 1, 0, -1):
                 if not (self.hard[e] or self.named[e]):
                     text[self.parent[e]] += text[e]
+                    told_in_prose[self.parent[e]] += told_in_prose[e]
+                elif self.wraps[e]:
+                    text[e] = told_in_prose[e]
             most, longest = clear, 0
             for e in range(1, len(self.tag)):
                 if not self.out[e] or sure[e] or text[e] <= most:
@@ -217,6 +244,16 @@ class Page:
             self.blocks.append((element, text, linked))
 
 
+def marking_names(names: str, inside: bool) -> set[str]:
+    """Parts of class and id ``names`` that mark something else; inside an article, of names that say nothing else."""
+    found = set()
+    for name in names.split():
+        parts = {p for p in NAME_PARTS.split(name) if p and not p.isdigit()}
+        if not inside or parts <= NOT_ARTICLE_NAMES | FRAME_NAMES:
+            found |= parts & NOT_ARTICLE_NAMES
+    return found
+
+
 def path_scores(page: Page) -> list[float]:
     """For each block, the fused and smoothed text and punctuation ratios of its path."""
     length: dict[int, list[float]] = {}
@@ -253,6 +290,9 @@ def main_text(source: str | None) -> str:
     mean = sum(scores[i] for i in usable) / len(usable)
     spread = math.sqrt(sum((scores[i] - mean) ** 2 for i in usable) / len(usable))
     content = {i for i in usable if scores[i] >= min(THRESHOLD * spread, mean)}
+    if any(page.doubtful):
+        usable = _without_doubtful(page, usable, scores, content)
+        content &= set(usable)
     mass = [0.0] * len(page.tag)
     for i in content:
         mass[page.blocks[i][0]] += len(page.blocks[i][1])
@@ -270,6 +310,7 @@ def main_text(source: str | None) -> str:
             break
     at = _with_headings(page, usable, content, at)
     inside = _below(page, at)
+    told = any(page.tag[e] == "article" for e in _line(page, at))
     loose = {}
     for i in usable:
         element, text, linked = page.blocks[i]
@@ -280,14 +321,29 @@ def main_text(source: str | None) -> str:
     for i in usable:
         element, text, _ = page.blocks[i]
         chars, linked = loose[page.path[element]]
-        lists_links = linked > 0.7 * chars and i not in content and page.tag[element] not in HEADINGS
+        # What an article element holds is its author's choice: a list of links there may be its references.
+        lists_links = not told and linked > 0.7 * chars and i not in content and page.tag[element] not in HEADINGS
         if inside[element] and not lists_links:
             kept.append(i)
-    if not any(page.tag[e] == "article" for e in _line(page, at)):
+    if not told:
         kept = _with_rest(page, usable, content, at, kept)
     return " ".join(page.blocks[i][1] for i in kept)
 
 
+def _without_doubtful(page: Page, usable: list[int], scores: list[float], content: set[int]) -> list[int]:
+    """``usable`` without the doubtful elements whose paths score far below the content that nothing marks."""
+    plain = [scores[i] for i in content if not page.doubt[page.blocks[i][0]]]
+    least = THRESHOLD * sum(plain) / len(plain) if plain else 0.0
+    sums: dict[int, list[float]] = {}
+    for i in usable:
+        element, text, _ = page.blocks[i]
+        total = sums.setdefault(page.doubt[element], [0.0, 0.0])
+        total[0] += scores[i] * len(text)
+        total[1] += len(text)
+    stays = {e for e, (score, length) in sums.items() if not e or score >= least * length}
+    return [i for i in usable if page.doubt[page.blocks[i][0]] in stays]
+
+
 def _line(page: Page, at: int) -> list[int]:
     """The element and all above it."""
     line = [at]

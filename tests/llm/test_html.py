@@ -47,6 +47,29 @@ WIDE = {
     "name around most of the content": (f"<body><div class='post with-sidebar'><p>{LONG}</p><p>{LAST}</p></div><div class=sidebar>Other, short.</div></body>", LONG + LAST),
     "long comments": (f"<body><div class=post><p>{LEAD * 4}</p></div><div class=comments><p>{LONG}</p></div></body>", LEAD * 4),
     "longer than the article": (f"<body><div class=ad>{LONG}</div><article><h1>Title</h1><p>{LAST}</p></article></body>", f"Title {LAST}"),
+    "form around an article": (f"<body><form method=post><nav><a href=/>Home</a></nav><article><p>{LONG}</p></article><footer>Us.</footer></form></body>", LONG),
+    "form around a main element": (f"<body><form><main><h1>Title</h1><p>{LAST}</p></main><input value=x></form></body>", f"Title {LAST}"),
+    "form around the page": (f"<body><form><div id=top>Us</div><div class=text><p>{LONG}</p><p>{LONG}</p></div></form></body>", LONG * 2),
+    "form alone": ("<body><form><p>Name: <input></p><p>Word, please: <input></p><button>Go</button></form></body>", ""),
+    "form in an article": (f"<body><article><p>{LAST}</p><form><p>{LONG}</p></form></article></body>", LAST),
+    "names that say more": (
+        f"<body><article><p>{LONG}</p><section class=social-history><p>{LAST}</p></section><div id=search-results><p>{LEAD}</p></div></article></body>",
+        LONG + LAST + LEAD,
+    ),
+    "names of the subject": (
+        f"<body><article><p>{LONG}</p><section class=promotion><p>{LONG}</p></section><section class=notice><p>{LONG}</p></section></article></body>",
+        LONG * 3,
+    ),
+    "names of something else": (
+        f"<body><article><p>{LONG}</p><div class='share share-buttons'>Share this: one, two.</div><div class=social-links><a href=x>one</a></div>"
+        f"<div class=ad-slot><p>{LONG}</p></div><p>{LAST}</p><div class='comment-list'><p>{LONG}</p></div></article></body>",
+        LONG + LAST,
+    ),
+    "references are links": (
+        f"<body><article><p>{LONG}</p><h2>References</h2><ol><li><a href=x>A title</a><li><a href=y>Another one</a></ol></article></body>",
+        f"{LONG} References A title Another one",
+    ),
+    "longer in lower case": (f"<body><article><p>\u0130 {LAST}</p><SCRIPT>var a = '</scripts>';</SCRIPT ><p>{LAST}</p></article></body>", f"\u0130 {LAST} {LAST}"),
     "articles as comments": (f"<body><article><p>{LONG}</p></article><div class=comments><article><p>{LAST}</p></article></div></body>", LONG),
 }
 
