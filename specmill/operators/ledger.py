@@ -36,10 +36,14 @@ def first_copies(files: DataFrame) -> DataFrame:
 
 
 def with_history(contents: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
-    """Adds what the ledger says: ``old_outcome``, ``old_id`` and ``todo``."""
+    """Adds what the ledger says: ``old_outcome``, ``old_id`` and ``todo``.
+
+    The ledger is cut down to the given contents first: where these are small enough to broadcast, by Spark's own
+    check of their size, a ledger of any length is read without a shuffle. Otherwise both joins share one.
+    """
     known = ledger.select(
         "source_hash", F.col("outcome").alias("old_outcome"), F.col("record_id").alias("old_id")
-    )
+    ).join(contents.select("source_hash"), "source_hash", "left_semi")
     settled_before = F.col("old_outcome").isNotNull() & (F.col("old_outcome") != "failed")
     return contents.join(known, "source_hash", "left").withColumn(
         "todo", F.lit(True) if force else ~settled_before

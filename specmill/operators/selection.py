@@ -7,11 +7,17 @@ per page; it needs one shuffle by document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # Without it, long keyword lists are searched word by word as well.
+    ahocorasick = None
+
 # Fixed values.
 KEYWORDS = (
     "technical data",
@@ -33,12 +39,21 @@ MIN_SCORE = 2
 MAX_CHARS = 12_000
 FALLBACK_PAGES = 3
 
+# From so many keywords on, one pass over a page with an automaton of all of them costs less than a search for each.
+AUTOMATON_FROM = 32
+
 
 def keyword_score(text: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
     """How many of the keywords occur in ``text``, ignoring case."""
+    if _many(keywords):
+        return _automaton_score(keywords)(F.lower(text))
     return _score(F.lower(text), keywords)
 
 
+def _many(keywords: Sequence[str]) -> bool:
+    return ahocorasick is not None and len(keywords) >= AUTOMATON_FROM
+
+
 def _score(lowered: Column, keywords: Sequence[str]) -> Column:
     score = F.lit(0)
     for keyword in keywords:
@@ -46,6 +61,57 @@ def _score(lowered: Column, keywords: Sequence[str]) -> Column:
     return score
 
 
+class KeywordCounter:
+    """How many of the keywords occur in a lower-cased text; a repeated keyword counts each time, the empty one always.
+
+    Its automaton is built where it is first used, once per task.
+    """
+
+    def __init__(self, keywords: Sequence[str]):
+        self.times: dict[str, int] = {}
+        for keyword in keywords:
+            self.times[keyword.lower()] = self.times.get(keyword.lower(), 0) + 1
+        self.always = self.times.pop("", 0)
+        self.automaton = None
+
+    def __call__(self, text: str | None) -> int | None:
+        if text is None or not self.times:
+            return None if text is None else self.always
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for keyword, times in self.times.items():
+                self.automaton.add_word(keyword, (keyword, times))
+            self.automaton.make_automaton()
+        found = {match for _, match in self.automaton.iter(text)}
+        return self.always + sum(times for _, times in found)
+
+
+def _automaton_score(keywords: Sequence[str]):
+    """Text column to score, in Arrow batches."""
+    given = tuple(keywords)
+
+    @F.pandas_udf("int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = KeywordCounter(given)
+        for texts in batches:
+            yield pd.Series([count(text) for text in texts], dtype="Int32")
+
+    return score
+
+
+def _automaton_scores(keywords: Sequence[str]):
+    """Column of arrays of texts to arrays of scores, in Arrow batches."""
+    given = tuple(keywords)
+
+    @F.pandas_udf("array<int>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = KeywordCounter(given)
+        for rows in batches:
+            yield pd.Series([None if row is None else [count(text) for text in row] for row in rows], dtype=object)
+
+    return scores
+
+
 def excerpt(
     pages: Column,
     keywords: Sequence[str] = KEYWORDS,
@@ -59,10 +125,12 @@ def excerpt(
     without their texts; the budget is a fold that stops taking pages once it is spent.
     """
     _check_cap(max_chars)
-    scored = F.transform(
-        F.transform(pages, F.lower),
-        lambda low, i: F.struct((-_score(low, keywords)).alias("worse"), (i + 1).alias("page_no")),
-    )
+    lowered = F.transform(pages, F.lower)
+    if _many(keywords):
+        scores = _automaton_scores(keywords)(lowered)
+    else:
+        scores = F.transform(lowered, lambda low: _score(low, keywords))
+    scored = F.transform(scores, lambda score, i: F.struct((-score).alias("worse"), (i + 1).alias("page_no")))
     # The one-element array binds the scores to a name, so they are not worked out per use.
     return F.transform(
         F.array(scored), lambda rows: _excerpt_of(pages, rows, min_score, max_chars, fallback_pages)

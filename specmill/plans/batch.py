@@ -73,9 +73,9 @@ def _run_files(
     records, ledger = record_table(spark, root, rules), ledger_table(spark, root)
     old_ledger = ledger.read()
     readable = files.where(F.col("source_hash").isNotNull())
-    contents = settled(
-        with_history(first_copies(readable), old_ledger, options.force), "contents"
-    )
+    # Written first: the size of a written table is known, so a short one is broadcast to the ledger's scan.
+    copies = settled(first_copies(readable), "copies")
+    contents = settled(with_history(copies, old_ledger, options.force), "contents")
     todo = contents.where("todo").select("source_hash", "seq", "source_file")
 
     # Pages become a skip reason and an excerpt where they are read: only these go through the join.

@@ -17,7 +17,7 @@ from specmill.operators.selection import assembled, chosen_pages, keyword_score,
 from specmill.operators.validation import as_records, of_severity
 from specmill.plans import derivations as given
 from specmill.plans.batch import RunOptions, run_texts
-from specmill.plans.oracle import TEST_KEYWORDS
+from specmill.plans.oracle import TEST_KEYWORDS, many_keywords
 from specmill.session import scratch_path, settled
 from specmill.sources.files import discover, exists, fingerprint, fingerprinted, state_of
 from specmill.sources.pages import page_rows, paginate, without_text
@@ -156,6 +156,12 @@ def _hashed(excerpts: DataFrame) -> DataFrame:
     )
 
 
+def q_page_score_many(spark, folder):
+    return page_rows(_paged(spark, folder)).select(
+        "doc_id", "page_no", keyword_score(F.col("text"), many_keywords()).alias("score")
+    )
+
+
 def q_page_select(spark, folder):
     return _hashed(with_excerpt(_paged(spark, folder), **TEST_SELECTION))
 

@@ -23,6 +23,18 @@ TEST_KEYWORDS = ("the", "tion", "und", "que", "License", "ich", "los", "en el",
 SHORT = 20
 
 
+def many_keywords() -> list[str]:
+    """All pairs of letters and all numbers of three digits."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [a + b for a in letters for b in letters] + [str(n) for n in range(100, 1000)]
+
+
+MANY_KEYWORDS = (
+    "SELECT list(w) AS words FROM (SELECT chr(97 + a::int) || chr(97 + b::int) AS w FROM range(26) x(a), range(26) y(b) "
+    "UNION ALL SELECT n::varchar AS w FROM range(100, 1000) z(n)) k"
+)
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -273,6 +285,9 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
         "q_no_text": f"""SELECT doc_id, 'doc-' || doc_id || '.pdf: only ' || total || ' characters of text across ' || pages
             || ' page(s). Is this a scanned image?' AS skip_reason FROM ({totals}) t WHERE total < {SHORT}""",
         "q_page_score": f"SELECT doc_id, page_no, {score_sql(TEST_KEYWORDS)} AS score FROM ({PAGES}) p",
+        "q_page_score_many": "SELECT doc_id, page_no, "
+        "cast(len(list_filter(words, lambda w: contains(lower(text), w))) as integer) AS score "
+        f"FROM ({PAGES}) p, ({MANY_KEYWORDS}) many",
         "q_page_select": f"SELECT doc_id, length(excerpt) AS chars, sha256(excerpt) AS excerpt_hash FROM ({excerpts}) e",
         "q_page_select_long": f"SELECT doc_id, length(excerpt) AS chars, sha256(excerpt) AS excerpt_hash FROM ({excerpts}) e",
         "q_prompt_length": f"""SELECT doc_id, length(p) AS chars, sha256(p) AS prompt_hash, sha256(p || {_q(RETRY_NOTE)}) AS retry_hash

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from specmill.operators.ledger import outcome_line, run_failed, run_summary
+from specmill.operators.ledger import outcome_line, run_failed, run_summary, with_history
 from specmill.operators.scoring import scored
 from specmill.plans.batch import RunOptions, run_paths, run_texts
 from specmill.session import shared_folder
@@ -223,3 +223,20 @@ def test_short_documents_are_explained(spark):
     rows = without_text(df).collect()
     assert rows[0]["skip_reason"].startswith("a.pdf: only 4 characters of text across 2 page(s).")
     assert rows[1]["skip_reason"] is None
+
+
+def test_a_short_run_reads_a_long_ledger_without_a_shuffle(spark, tmp_path):
+    ledger = spark.range(300_000).selectExpr("sha2(cast(id as string), 256) source_hash", "if(id % 3 = 0, 'failed', 'stored') outcome", "id record_id")
+    ledger.write.parquet(f"{tmp_path}/ledger")
+    few = spark.range(299_990, 300_010).selectExpr("sha2(cast(id as string), 256) source_hash", "id seq")
+    few.write.parquet(f"{tmp_path}/contents")
+    known = with_history(spark.read.parquet(f"{tmp_path}/contents"), spark.read.parquet(f"{tmp_path}/ledger"))
+    got = {r.seq: (r.old_outcome, r.old_id, r.todo) for r in known.collect()}
+    want = {n: (None, None, True) if n >= 300_000 else ("failed", n, True) if n % 3 == 0 else ("stored", n, False) for n in range(299_990, 300_010)}
+    assert got == want
+    lines = known._jdf.queryExecution().executedPlan().toString().split("\n")
+    lines = lines[: next((i for i, line in enumerate(lines) if "Initial Plan" in line), len(lines))]
+    # From the semi-join down to the ledger's scan nothing is shuffled.
+    start = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert "BroadcastHashJoin" in lines[start]
+    assert not any("Exchange hashpartitioning" in line for line in lines[start:])

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from specmill.operators.selection import KEYWORDS, assembled, chosen_pages, keyword_score, with_excerpt
+from specmill.operators import selection
+from specmill.operators.selection import KEYWORDS, KeywordCounter, assembled, chosen_pages, keyword_score, with_excerpt
 from specmill.sources.pages import page_rows, paginate
 
 COVER = "The Meadow series. Quiet, small and easy to clean."
@@ -81,3 +82,30 @@ def test_default_score_counts_distinct_phrases(spark):
 def test_no_shuffle_in_the_array_form(spark):
     df = with_excerpt(paginate(spark.range(3).select("id", F.lit("a\nb").alias("text"))))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_keywords_count_as_few_do(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["alpha", "BETA", "gamma ", "ß", "é日", "İ", "", "a", "lph"]
+    documents = [
+        [rng.choice([None, ""]) if rng.random() < 0.1 else "".join(rng.choices(words, k=rng.randrange(0, 6))) for _ in range(rng.randrange(0, 7))]
+        for _ in range(200)
+    ] + [None]
+    for keywords in (("Alpha", "ALPHA", "lph", "a", "beta", "ß", "日", "", "amma al"), ("", "")):
+        found = []
+        for least in (10**9, 1):
+            monkeypatch.setattr(selection, "AUTOMATON_FROM", least)
+            df = frame(spark, documents)
+            wide = with_excerpt(df, keywords=keywords, max_chars=30).orderBy("doc").collect()
+            rows = page_rows(df.where("pages IS NOT NULL"))
+            long = rows.select("doc", "page_no", keyword_score(F.col("text"), keywords).alias("s")).orderBy("doc", "page_no").collect()
+            found.append((wide, long))
+        assert found[0] == found[1]
+
+
+def test_long_keyword_lists_cost_one_pass(spark):
+    counter = KeywordCounter([f"word{n} " for n in range(2000)] + ["word7 "])
+    assert counter("word7 word8 word7 word9") == 3 and counter("") == 0 and counter(None) is None
+    df = spark.createDataFrame([("x word1999 y", 1)], "t string, n int").select(keyword_score(F.col("t"), [f"Word{n}" for n in range(2000)]))
+    # word1, word19, word199 and word1999.
+    assert df.first()[0] == 4 and "contains" not in df._jdf.queryExecution().executedPlan().toString().lower()
