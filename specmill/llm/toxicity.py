@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one that puts windows of toxic text behind the
-same ordinary base. A window that compresses much better with the toxic dictionary is a toxic window. The
-least saving and what a count of toxic windows means are calibrated on labelled rows
-that trained no dictionary.
+Two zstandard dictionaries share a base that is trained on windows of ordinary text. The toxic one is not trained: behind
+the base it lists words that a log-odds test finds more often in toxic texts. A window, one word, that
+compresses much better with the toxic dictionary is a toxic window. The least saving and what a count of toxic
+windows means are calibrated on labelled rows that made no dictionary.
 """
 
 from __future__ import annotations
