@@ -15,6 +15,15 @@ BLOCK_BITS = 20
 LANES = 64
 
 
+def is_small(rows: DataFrame) -> bool:
+    """Whether Spark's estimate of the size of ``rows`` is within ``spark.sql.autoBroadcastJoinThreshold``.
+
+    Estimates are upper bounds for tables read from files, filtered, projected or aggregated, so a large side is never taken for a small one there.
+    """
+    limit = rows._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def spread_left_join(
     left: DataFrame, right: DataFrame, key: str, by: Column, lanes: int | None = None
 ) -> DataFrame:
@@ -25,7 +34,12 @@ def spread_left_join(
     combine), then both sides meet on (key, lane). A key with a third of all rows
     ends in ``lanes`` tasks; a rare key is copied as often as it has rows at most. There are as many
     lanes as shuffle partitions if not given: a hot key gets as many tasks as the session has.
+
+    A right side below Spark's own broadcast limit needs none of this: Spark sends it to every task, and no
+    left row moves, whatever its key.
     """
+    if is_small(right):
+        return left.join(right, key, "left")
     lanes = lanes or max(LANES, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = left.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)))
     used = marked.select(key, "_lane").where(F.col(key).isNotNull()).distinct()
