@@ -11,6 +11,7 @@ from specmill.operators import ledger as led
 from specmill.operators import records as rec
 from specmill.operators import upsert as up
 from specmill.operators.journal import ReplyJournal
+from specmill.operators.pieces import piece_table, searched
 from specmill.operators.replies import RETRY_NOTE, parsed_reply_ok, prompt, resolved, with_raw
 from specmill.operators.scoring import scored
 from specmill.operators.selection import assembled, chosen_pages, keyword_score, with_excerpt
@@ -472,6 +473,14 @@ def q_facet_filter(spark, folder):
     return rows.select("id", "part_number", "manufacturer", "sensor_type", "status", "operating_temp_min")
 
 
+def q_facet_search(spark, folder):
+    flat = _flat(spark, folder)
+    pieces = _stored_once(spark, folder, "query-pieces", lambda: piece_table(flat))
+    rows = searched(flat, pieces, " RING ")
+    rows = rec.filtered(rows, statuses=["warning", "error"], cold_limit=-5, bounds=[("weight", ">", 100)])
+    return rows.select("id", "part_number", "manufacturer", "sensor_type", "status", "operating_temp_min")
+
+
 def q_facet_values(spark, folder):
     return rec.facet_values(_flat(spark, folder), "manufacturer")
 

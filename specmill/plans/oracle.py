@@ -272,8 +272,9 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
       UNION ALL SELECT e.id, n.source_hash, n.part_number, n.p_size FROM ends e JOIN new n ON e.seq = n.seq"""
 
     facets = f"SELECT id, part_number, manufacturer, sensor_type, status, operating_temp_min FROM {records}"
+    brands = "manufacturer IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#17') AND "
     facet_where = (
-        "WHERE manufacturer IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#17') AND status IN ('warning', 'error') "
+        f"WHERE {brands}status IN ('warning', 'error') "
         f"AND contains(lower({part}), 'ring') AND operating_temp_min <= -5 AND weight > 100"
     )
     hit = f"(manufacturer IN ('Brand#1', 'Brand#5') AND operating_temp_min <= -20 AND contains(lower({part}), 'bolt'))"
@@ -340,6 +341,7 @@ def oracle_queries(rules: RuleSet) -> dict[str, str]:
         "q_find": f"SELECT id, manufacturer, part_number, operating_temp_min, status FROM {records} WHERE operating_temp_min < -20",
         "q_find_text": f"SELECT id, part_number, sensor_type FROM {records} WHERE sensor_type <> 'temperature'",
         "q_facet_filter": f"{facets} {facet_where}",
+        "q_facet_search": f"{facets} {facet_where.replace(brands, '')}",
         "q_facet_values": f"SELECT DISTINCT manufacturer AS value FROM {records} WHERE manufacturer <> ''",
         "q_flatten": f"""SELECT id, status, {words} AS status_word, len(problems) AS problem_count, {base} AS source_file,
             problems[1].severity AS first_severity, problems[1].field AS first_field, problems[1].message AS first_message FROM {records}""",
