@@ -244,7 +244,8 @@ def resolved(
     a usable reply fails with the last error. Attempt numbers are unique per document.
 
     Which attempt decides is found on numbers alone, so the aggregate hashes and combines before the shuffle;
-    only the deciding reply of each document is shaped.
+    only the deciding reply of each document is shaped. Its text comes by a merge join: Spark counts 20 bytes for a
+    text that an expression makes, and would send all replies through the driver.
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
@@ -261,7 +262,7 @@ def resolved(
     how = F.when(beaten, "error").when(F.col("_first_good").isNotNull(), "good").otherwise("trouble")
     at = F.when(beaten, F.col("_first_error")).otherwise(F.coalesce("_first_good", "_last_trouble"))
     decided = decided.select(key, at.alias("attempt"), how.alias("_how"))
-    deciding = decided.join(given.select(key, "attempt", "reply", "error"), [key, "attempt"])
+    deciding = decided.join(given.select(key, "attempt", "reply", "error").hint("merge"), [key, "attempt"])
     winner = F.when(F.col("_how") == "good", F.col("reply"))
     shaped = with_raw(deciding.withColumn("_winner", winner), rules, "_winner")
     quota = (F.col("_how") == "error") & is_quota_error(F.col("error"))
