@@ -213,7 +213,8 @@ def q_enforce_schema(spark, folder):
 def q_quota_deferral(spark, folder):
     attempts = given.attempts(spark, folder)
     order = attempts.where("attempt = 1").select("source_hash", "seq")
-    results = resolved(attempts, RULES).select("source_hash", "failure", "quota").join(order, "source_hash")
+    # Hashes are made here, so Spark's estimate of their size is far too low for a broadcast.
+    results = resolved(attempts, RULES).select("source_hash", "failure", "quota").join(order.hint("merge"), "source_hash")
     # The cut-off and the outcomes both read the results; they are worked out once.
     results = settled(results, "results")
     cutoff = led.first_quota_seq(results)

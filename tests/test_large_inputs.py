@@ -31,3 +31,12 @@ def test_replies_do_not_go_through_the_driver(spark, rules, folder):
     # Made texts of any length look like 20 bytes to Spark, so these would be broadcast at any size.
     attempts = given.attempts(spark, folder).withColumn("reply", F.repeat("reply", 1000))
     assert "Broadcast" not in plan(resolved(attempts, rules))
+
+
+def test_arrival_numbers_do_not_go_through_the_driver(spark, folder, monkeypatch):
+    plans = []
+    kept = catalog.settled
+    monkeypatch.setattr(catalog, "settled", lambda rows, name: plans.append(plan(rows)) or kept(rows, name))
+    found = catalog.q_quota_deferral(spark, folder)
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+    assert found.count() == 40
