@@ -18,6 +18,10 @@ SPARK = {"sha": "sha2({0}, 256)", "four": "explode(array(1, 2, 3, 4))"}
 ANSI = {"sha": "sha256({0})", "four": "unnest([1, 2, 3, 4])"}
 
 
+# Parts whose replies one task makes and checks: some seconds of work from a few bytes each.
+PARTS_PER_TASK = 20_000
+
+
 def _value(value: str, unit: str) -> str:
     """SQL text building a JSON object with a value and a unit."""
     return f"""'{{"value": ' || {value} || ', "unit": ' || {unit} || '}}'"""
@@ -175,18 +179,28 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def derived(spark: SparkSession, folder: str, sql: str, table: str) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in turn over so many partitions that each has ``PARTS_PER_TASK`` at most, and every core its share.
+
+    Spark cuts a scan by bytes: of a table that makes much work from few bytes, a few tasks would get all.
+    """
+    tasks = -(-rows.count() // PARTS_PER_TASK)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def derived(spark: SparkSession, folder: str, sql: str, table: str, deal: bool = False) -> DataFrame:
     """Run a derivation over one given table without leaving a view behind."""
     braced = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", "FROM {given}")
-    return spark.sql(braced, given=load(spark, folder, table))
+    given = load(spark, folder, table)
+    return spark.sql(braced, given=dealt(given) if deal else given)
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, replies_sql(SPARK), "part")
+    return derived(spark, folder, replies_sql(SPARK), "part", deal=True)
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, attempts_sql(SPARK), "part")
+    return derived(spark, folder, attempts_sql(SPARK), "part", deal=True)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,3 +40,12 @@ def test_arrival_numbers_do_not_go_through_the_driver(spark, folder, monkeypatch
     found = catalog.q_quota_deferral(spark, folder)
     assert len(plans) == 1 and "Broadcast" not in plans[0]
     assert found.count() == 40
+
+
+def test_parts_of_one_file_are_dealt_over_tasks(spark, folder, monkeypatch):
+    for made in (given.replies, given.attempts):
+        assert made(spark, folder).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(given, "PARTS_PER_TASK", 6)
+    sizes = given.replies(spark, folder).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 7 and max(r["count"] for r in sizes) <= 7
+    assert given.replies(spark, folder).count() == 40
