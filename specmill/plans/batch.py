@@ -205,9 +205,7 @@ def run_texts(
     options: RunOptions = RunOptions(),
 ) -> DataFrame:
     """Process a table (seq, source_file, source_hash, pages) whose pages are already text."""
-    files = documents.select(
-        "seq", "source_file", "source_hash", F.lit(None).cast("string").alias("error")
-    )
+    spark = documents.sparkSession
 
     def load_pages(todo: DataFrame) -> DataFrame:
         # Joined on the first copy's arrival number, so each content arrives once.
@@ -215,4 +213,9 @@ def run_texts(
             "source_hash", "source_file", "pages", F.lit(None).cast("string").alias("error")
         )
 
-    return run_files(documents.sparkSession, files, load_pages, root, rules, make_client, options)
+    with scratch_scope(spark):
+        # A run looks at its files several times; texts are cut and hashed once for all of them.
+        files = settled(
+            documents.select("seq", "source_file", "source_hash", F.lit(None).cast("string").alias("error")), "files"
+        )
+        return run_files(spark, files, load_pages, root, rules, make_client, options)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from specmill.operators.replies import resolved
-from specmill.plans import catalog
+from specmill.plans import batch, catalog
 from specmill.plans import derivations as given
+from specmill.sources.pages import paginate
 
 
 @pytest.fixture
@@ -49,3 +50,15 @@ def test_parts_of_one_file_are_dealt_over_tasks(spark, folder, monkeypatch):
     sizes = given.replies(spark, folder).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 7 and max(r["count"] for r in sizes) <= 7
     assert given.replies(spark, folder).count() == 40
+
+
+def test_a_run_over_texts_cuts_and_hashes_them_once(spark, rules, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(i, f"{i}.pdf", f"text {i}") for i in range(5)], "seq bigint, source_file string, text string")
+    documents = paginate(texts.withColumn("source_hash", F.sha2("text", 256)))
+
+    def looked_at(spark, files, *_):
+        seen = plan(files)
+        return ("Generate" in seen or "sha2" in seen), sorted(r["seq"] for r in files.collect())
+
+    monkeypatch.setattr(batch, "run_files", looked_at)
+    assert batch.run_texts(documents, str(tmp_path), rules, None) == (False, [0, 1, 2, 3, 4])
