@@ -153,10 +153,11 @@ def fingerprinted(files: DataFrame) -> DataFrame:
 def in_arrival_order(files: DataFrame) -> DataFrame:
     """Adds ``seq``: position in the order (argument, source_file), from 0 without gaps.
 
+    The rows are written first: a sort reads its input twice, and the second time would list and hash all files again.
     The sorted rows get their provisional numbers while they are written out, so that a
     partition computed again can no longer change them.
     """
-    ordered = files.orderBy("argument", "source_file").withColumn(
+    ordered = settled(files, "listed").orderBy("argument", "source_file").withColumn(
         "_at", F.monotonically_increasing_id()
     )
     numbered = dense_position(settled(ordered, "arrivals"), "_at", "seq")

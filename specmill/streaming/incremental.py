@@ -140,7 +140,9 @@ def _started(
         gone = F.col("reason").startswith("FileNotFoundError") & F.col("source_hash").isNull()
         again = outcomes.where(F.col("outcome").isin("failed", "deferred") & ~F.coalesce(gone, F.lit(False)))
         again = again.select(*arrivals.key).distinct()
-        left = batch.select(*arrivals.schema.names).join(again, arrivals.key, "left_semi").dropDuplicates(arrivals.key)
+        left = again
+        if arrivals.schema.names != arrivals.key:
+            left = batch.select(*arrivals.schema.names).join(again, arrivals.key, "left_semi").dropDuplicates(arrivals.key)
         if number < 0:
             # This batch holds all that was pending, so what it leaves replaces the log.
             pending.compact(left)

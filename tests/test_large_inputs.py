@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specmill.operators.replies import resolved
 from specmill.plans import batch, catalog
 from specmill.plans import derivations as given
+from specmill.sources.files import in_arrival_order, names_in, put
 from specmill.sources.pages import paginate
 
 
@@ -62,3 +63,18 @@ def test_a_run_over_texts_cuts_and_hashes_them_once(spark, rules, tmp_path, monk
 
     monkeypatch.setattr(batch, "run_files", looked_at)
     assert batch.run_texts(documents, str(tmp_path), rules, None) == (False, [0, 1, 2, 3, 4])
+
+
+def test_files_are_read_once_to_be_put_in_order(spark, tmp_path):
+    folder = str(tmp_path / "read")
+
+    def read(batches):
+        for rows in batches:
+            for name in rows["source_file"]:
+                put(folder, f"{name}-{len(names_in(folder))}")
+            yield rows
+
+    files = spark.createDataFrame([(0, f"f{i}") for i in range(6)], "argument int, source_file string").coalesce(1)
+    ordered = in_arrival_order(files.mapInPandas(read, files.schema))
+    assert [(r["source_file"], r["seq"]) for r in ordered.orderBy("seq").collect()] == [(f"f{i}", i) for i in range(6)]
+    assert len(names_in(folder)) == 6
