@@ -74,7 +74,7 @@ def test_files_are_read_once_to_be_put_in_order(spark, tmp_path):
                 put(folder, f"{name}-{len(names_in(folder))}")
             yield rows
 
-    files = spark.createDataFrame([(0, f"f{i}") for i in range(6)], "argument int, source_file string").coalesce(1)
+    files = spark.createDataFrame([(0, f"f{i}") for i in range(6)], "argument int, source_file string").repartition(2)
     ordered = in_arrival_order(files.mapInPandas(read, files.schema))
     assert [(r["source_file"], r["seq"]) for r in ordered.orderBy("seq").collect()] == [(f"f{i}", i) for i in range(6)]
     assert len(names_in(folder)) == 6
