@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+import os
+import stat
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.spread import dense_position
+from specmill.functions.text import base_name
 from specmill.session import settled
 
 DOCUMENT_GLOB = "*.pdf"
 # Bytes of a file that a task holds while it hashes it.
 CHUNK = 1 << 22
 LISTED = "argument int, source_file string, length bigint, error string"
+NAMES = "source_file string, modified bigint"
+# Names that a task which lists a folder hands on at a time.
+NAMES_AT_ONCE = 10_000
 
 
 def fingerprint(content: Column) -> Column:
@@ -82,6 +90,63 @@ def discover(spark: SparkSession, paths: Sequence[str], glob: str = DOCUMENT_GLO
     return reduce(DataFrame.unionByName, parts)
 
 
+def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(path, whether it is a folder, time of the last change in microseconds) of what lies directly in a folder. Runs in tasks."""
+    if folder.startswith("file:"):
+        # Entry by entry: the task holds a few names, however many there are.
+        with os.scandir("/" + folder.removeprefix("file:").lstrip("/")) as entries:
+            for entry in entries:
+                try:
+                    found = entry.stat()
+                except FileNotFoundError:
+                    continue  # removed meanwhile, or a link to nothing
+                name = os.fsencode(entry.name).decode(errors="replace")
+                yield f"{folder}/{name}", stat.S_ISDIR(found.st_mode), found.st_mtime_ns // 1000
+        return
+    system, place = _reached(folder)
+    for found in system.get_file_info(fs.FileSelector(place)):
+        yield f"{folder}/{found.base_name}", found.type == fs.FileType.Directory, (found.mtime_ns or 0) // 1000
+
+
+def _names_below(folder: str) -> Iterator[tuple[str, int]]:
+    """Names and times of the files in a folder and in its subfolders named ``key=value``."""
+    for path, is_folder, modified in _entries(folder):
+        name = path.rsplit("/", 1)[1]
+        if not is_folder:
+            yield path, modified
+        elif "=" in name and not name.startswith("."):
+            yield from _names_below(path)
+
+
+def listed(spark: SparkSession, folder: str, glob: str = DOCUMENT_GLOB) -> DataFrame:
+    """(source_file, modified): names of the files in ``folder``, or in all folders of a pattern, that match ``glob``.
+
+    The files that Spark's streaming file source takes: direct children and those of subfolders named ``key=value``, without
+    hidden ones. A task lists a folder and hands its names on as they come; none of them reaches the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    matches = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    if matches is None:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {folder}.")
+    asked = [(f.getPath().toString(), f.getModificationTime() * 1000, f.isDirectory()) for f in matches]
+
+    def run(batches):
+        for batch in batches:
+            for path, modified, is_folder in zip(batch["path"], batch["modified"], batch["is_folder"]):
+                found = _names_below(path) if is_folder else iter([(path, modified)])
+                while names := list(islice(found, NAMES_AT_ONCE)):
+                    yield pd.DataFrame(names, columns=["source_file", "modified"])
+
+    asked = spark.createDataFrame(asked, "path string, modified bigint, is_folder boolean")
+    names = asked.mapInPandas(run, NAMES)
+    name = base_name(F.col("source_file"))
+    hidden = (name.startswith("_") & ~F.contains(name, F.lit("="))) | name.startswith(".") | name.endswith("._COPYING_")
+    # Hadoop's own reading of the pattern, as the file source's.
+    pattern = jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().toString()
+    return names.where(name.rlike(rf"(?s)\A(?:{pattern})\z") & ~hidden)
+
+
 def _reached(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and its name there, as executors reach it."""
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))

@@ -18,8 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from specmill.operators.ledger import DEFERRED_REASON
 from specmill.operators.replies import QUOTA_REASON, TextModel
 from specmill.plans.batch import PageLoader, RunOptions, page_reader, run_files
-from specmill.session import settled
-from specmill.sources.files import DOCUMENT_GLOB, fingerprinted, in_arrival_order
+from specmill.session import scratch_scope, settled
+from specmill.sources.files import DOCUMENT_GLOB, NAMES, fingerprinted, in_arrival_order, listed
 from specmill.sources.rules import RuleSet
 from specmill.sources.tables import PartLog
 
@@ -77,7 +77,8 @@ def start_incremental(
         return load_pages
 
     arrivals = Arrivals(["source_file", "source_hash"], PENDING, files_of, pages_of)
-    return _started(stream, arrivals, root, rules, make_client, checkpoint, options, on_outcomes)
+    place = checkpoint or f"{root}/stream"
+    return _started(stream.sparkSession, lambda: stream, arrivals, root, rules, make_client, place, options, on_outcomes)
 
 
 def start_files(
@@ -95,38 +96,60 @@ def start_files(
 ) -> StreamingQuery:
     """The same over a growing folder of files: those that are new since the last run, and those that are pending.
 
-    The stream carries names alone. Bytes are hashed and, where a content is not settled yet, read in tasks; neither
-    they nor page texts are shuffled or kept. ``read_pages`` turns one file's bytes into page texts. A file that is gone when its
-    turn comes fails, and is not offered again.
+    The stream carries names alone; a table in ``checkpoint`` says which of them it has had, and the driver holds none. Bytes
+    are hashed and, where a content is not settled yet, read in tasks; neither they nor page texts are shuffled or kept.
+    ``read_pages`` turns one file's bytes into page texts. A file that is gone when its turn comes fails, and is not offered
+    again. A file is new by its name, whatever its age.
     """
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # Without the content column no file is opened by the source.
-    stream = reader.load(folder).select(F.col("path").alias("source_file"))
+    place = checkpoint or f"{root}/stream"
+    found = listed(spark, folder, glob)
 
     def files_of(batch: DataFrame) -> DataFrame:
         named = batch.select(F.lit(0).alias("argument"), "source_file", F.lit(None).cast("string").alias("error"))
         return in_arrival_order(fingerprinted(named))
 
+    def stream() -> DataFrame:
+        return _new_names(found, f"{place}/names", files_per_batch).select("source_file")
+
     arrivals = Arrivals(["source_file"], PENDING_NAMES, files_of, lambda batch: page_reader(read_pages))
-    return _started(stream, arrivals, root, rules, make_client, checkpoint, options, on_outcomes)
+    return _started(spark, stream, arrivals, root, rules, make_client, f"{place}/batches", options, on_outcomes)
+
 
+def _new_names(found: DataFrame, place: str, files_per_batch: int | None) -> DataFrame:
+    """A stream of the names in ``found`` (source_file, modified) that it has not had before, the oldest first.
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+    Spark's file source would hold every name of a folder on the driver, and plan a read of each. So the names that have been
+    offered are a table at ``place``: new ones are added to it first, and the source sees its few files, each with many names.
+    With ``files_per_batch`` a file has that many.
+    """
+    spark = found.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    with scratch_scope(spark):
+        # Names take few bytes on disk, for which Spark would send all of them through the driver.
+        offered = spark.read.schema(NAMES).parquet(place).select("source_file").hint("merge")
+        new = settled(found.join(offered, "source_file", "left_anti"), "names")
+        if not new.isEmpty():
+            if files_per_batch:
+                # One task writes file after file, so that their times are in this order.
+                new = new.repartition(1).sortWithinPartitions("modified", "source_file")
+            new.write.mode("append").option("maxRecordsPerFile", files_per_batch or 0).parquet(place)
+    # What a run that died has left is offered whatever its age.
+    reader = spark.readStream.schema(NAMES).option("maxFileAge", "36500d")
+    return (reader.option("maxFilesPerTrigger", 1) if files_per_batch else reader).parquet(place)
 
 
 def _started(
-    stream: DataFrame,
+    spark: SparkSession,
+    stream: Callable[[], DataFrame],
     arrivals: Arrivals,
     root: str,
     rules: RuleSet,
     make_client: Callable[[], TextModel],
-    checkpoint: str | None,
+    checkpoint: str,
     options: RunOptions,
     on_outcomes: OnOutcomes | None,
 ) -> StreamingQuery:
-    spark = stream.sparkSession
     pending = PartLog(spark, f"{root}/pending", arrivals.schema)
     run = {"quota": False}
 
@@ -156,8 +179,8 @@ def _started(
     if waiting.head(1):
         handle(waiting.dropDuplicates(arrivals.key), -1)
     return (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint or f"{root}/stream")
+        stream().writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
